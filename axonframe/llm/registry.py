@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, matroska, mixing, packing, sharding
+from . import chat, fingerprints, matroska, mixing, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.query,
     "op2_mixing": mixing.query,
     "op5_chat": chat.query,
     "op7_packing": packing.query,
+    "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
     "op10_matroska": matroska.query,
 }
