@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, matroska, mixing, packing, sharding, simhash, toxicity
+from . import chat, fingerprints, matroska, mixing, packing, sharding, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.query,
     "op2_mixing": mixing.query,
     "op3_simhash": simhash.query,
+    "op4_suffixes": suffixes.query,
     "op5_chat": chat.query,
     "op7_packing": packing.query,
     "op8_toxicity": toxicity.query,
