@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -106,12 +107,14 @@ def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def posted(nodes: DataFrame) -> DataFrame:
-    """(key, fp): a fingerprint under each of its position triples; the triple's number is in the key's upper bits."""
+    """Postings of nodes (node, fps array<long>, check long): (key, fp, node, check), one for each fingerprint and
+    position triple; their numbers are in the key's upper bits."""
+    rows = nodes.select("node", "check", F.posexplode("fps").alias("k", "fp"))
     keys = []
     for k, (a, b, c) in enumerate(TRIPLES):
         byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255).cast("long")) for p in (a, b, c)]
-        keys.append(F.lit(k << 24).cast("long") + byte[0] * 65536 + byte[1] * 256 + byte[2])
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+        keys.append((F.col("k") * len(TRIPLES) + k).cast("long") * (1 << 24) + byte[0] * 65536 + byte[1] * 256 + byte[2])
+    return rows.select(F.explode(F.array(*keys)).alias("key"), "fp", "node", "check")
 
 
 def tallied(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -125,113 +128,108 @@ def tallied(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_links(left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join what is linked among `left`, or between `left` and `right`: a forest, not all pairs.
+def linked(x: tuple, y: tuple, check_bits: int) -> np.ndarray:
+    """tallied on (fp, node, check) columns, and the checks differ in at most check_bits bits."""
+    out = tallied(x[0], y[0])
+    out[out] = np.bitwise_count((x[2] ^ y[2])[out]) <= check_bits
+    return out
+
 
-    Each fingerprint, once reached, is compared with those not reached yet.
+def tree_links(rows: tuple, side: np.ndarray | None, check_bits: int) -> list[tuple[int, int]]:
+    """Links of a forest that joins what is linked among rows; with `side`, only what is linked across sides.
+
+    Each row, once reached, is compared with those not reached yet.
     """
-    values = left if right is None else np.concatenate((left, right))
-    side = np.arange(len(values)) < len(left)
-    open_, links, stack = np.ones(len(values), bool), [], []
-    for seed in range(len(values)):
+    fp, node, check = rows
+    open_, links = np.ones(len(fp), bool), []
+    for seed in range(len(fp)):
         if not open_[seed]:
             continue
         open_[seed] = False
-        stack.append(seed)
+        stack = [seed]
         while stack:
             k = stack.pop()
-            rest = np.flatnonzero(open_ if right is None else open_ & (side != side[k]))
-            near = rest[tallied(values[rest], values[k])]
+            rest = np.flatnonzero(open_ if side is None else open_ & (side != side[k]))
+            near = rest[linked((fp[rest], None, check[rest]), (fp[k], None, check[k]), check_bits)]
             open_[near] = False
-            links += [(int(values[k]), int(values[j])) for j in near]
+            links += [(int(node[k]), int(node[j])) for j in near]
             stack += near.tolist()
     return links
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by (key, part) to links. Lists of a few are compared by their distance in the list."""
-    def links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u, v = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(new, len(key)))
-        small = sizes <= 16
-        in_small = np.repeat(small, sizes)
-        for d in range(1, 16):
-            k = np.flatnonzero(in_small[d:] & (key[d:] == key[:-d])) if len(key) > d else np.zeros(0, np.int64)
-            k = k[tallied(fp[k], fp[k + d])]
-            u.append(fp[k])
-            v.append(fp[k + d])
-        for a, n in zip(new[~small], sizes[~small], strict=True):
-            found = tree_links(fp[a : a + n])
-            u.append(np.array([x for x, _ in found], np.uint64))
-            v.append(np.array([y for _, y in found], np.uint64))
-        return np.concatenate(u), np.concatenate(v)
-
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def flush(upto_last_key: bool):
-        key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = len(key) if upto_last_key else int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-        held[:] = [(key[cut:], fp[cut:])] if cut < len(key) else []
-        return links(key[:cut], fp[:cut]) if cut else None
-
-    def table(found) -> pa.RecordBatch:
-        u, v = found
-        pair = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1) if len(u) else np.zeros((2, 0), np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in np.ascontiguousarray(pair)], names=["u", "v"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append((batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)))
-            if (found := flush(False)) is not None:
-                yield table(found)
-    if held and (found := flush(True)) is not None:
-        yield table(found)
-
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    pair = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1) if len(u) else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, np.int64)) for x in pair], names=["u", "v"])
 
-def _linked_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Like _linked for long lists: rows sorted by (key, i, j, chunk), the pair of chunks i, j of a key together."""
-    held: list[tuple[np.ndarray, ...]] = []
 
-    def found(last: bool) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], rest: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups of the sorted rows, as many groups at once as a batch completes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch[c].to_numpy() for c in by + rest])
         cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-        key, i, j, chunk, fp = cols
-        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        ends = np.append(new[1:], len(key))
-        if not last:
-            new, ends = new[:-1], ends[:-1]
-        for a, b in zip(new, ends, strict=True):
-            x = fp[a:b]
-            if i[a] == j[a]:
-                pairs = tree_links(x)
-            else:
-                pairs = tree_links(x[chunk[a:b] == i[a]], x[chunk[a:b] == j[a]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in pairs], np.uint64).view(np.int64)) for k in (0, 1)], names=["u", "v"])
-        cut = 0 if not len(ends) else int(ends[-1])
-        held[:] = [] if last else [tuple(c[cut:] for c in cols)]
+        open_ = np.ones(len(cols[0]), bool)
+        for c in cols[: len(by)]:
+            open_ &= c == c[-1]
+        cut = len(open_) if not open_.any() else int(np.flatnonzero(~open_)[-1]) + 1 if not open_.all() else 0
+        held = [[c[cut:] for c in cols]]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if held and len(held[0][0]):
+        yield held[0]
+
+
+def _linked(check_bits: int):
+    """Postings sorted by key to links. Lists of a few are compared by their distance in the list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, node, check in _groups(batches, ["key"], ["fp", "node", "check"]):
+            fp, check = fp.view(np.uint64), check.view(np.uint64)
+            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.append(new, len(key)))
+            few = sizes <= 16
+            in_few, u, v = np.repeat(few, sizes), [], []
+            for d in range(1, min(16, len(key))):
+                k = np.flatnonzero(in_few[d:] & (key[d:] == key[:-d]))
+                k = k[linked((fp[k], None, check[k]), (fp[k + d], None, check[k + d]), check_bits)]
+                u.append(node[k])
+                v.append(node[k + d])
+            for a, n in zip(new[~few], sizes[~few], strict=True):
+                found = np.array(tree_links((fp[a : a + n], node[a : a + n], check[a : a + n]), None, check_bits), np.int64).reshape(-1, 2)
+                u.append(found[:, 0])
+                v.append(found[:, 1])
+            yield _pairs(np.concatenate(u) if u else np.zeros(0, np.int64), np.concatenate(v) if v else np.zeros(0, np.int64))
+
+    return run
+
+
+def _linked_chunks(check_bits: int):
+    """Like _linked for long lists: rows sorted by (key, i, j), the pair of chunks i, j of a key together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, i, j, chunk, fp, node, check in _groups(batches, ["key", "i", "j"], ["chunk", "fp", "node", "check"]):
+            fp, check = fp.view(np.uint64), check.view(np.uint64)
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            for a, b in zip(new, np.append(new[1:], len(key)), strict=True):
+                side = None if i[a] == j[a] else chunk[a:b] == i[a]
+                found = np.array(tree_links((fp[a:b], node[a:b], check[a:b]), side, check_bits), np.int64).reshape(-1, 2)
+                yield _pairs(found[:, 0], found[:, 1])
 
-    for batch in batches:
-        if batch.num_rows:
-            cols = [batch[c].to_numpy() for c in ("key", "i", "j", "chunk", "fp")]
-            held.append((*cols[:4], cols[4].view(np.uint64)))
-            yield from found(False)
-    if held:
-        yield from found(True)
+    return run
 
 
-def links_between(nodes: DataFrame, scratch: common.Scratch, chunk: int = CHUNK) -> DataFrame:
-    """(u, v) links among distinct fingerprints, enough to join all that are linked."""
+def links_between(nodes: DataFrame, scratch: common.Scratch, check_bits: int = 64, chunk: int = CHUNK) -> DataFrame:
+    """(u, v) links among nodes (node, fps, check), enough to join all that are linked."""
     posts = posted(nodes)
     long = scratch.table("long", posts.groupBy("key").count().where(F.col("count") > chunk))
     if not long.head(1):
-        return posts.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "u long, v long")
+        return posts.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(check_bits), "u long, v long")
     posts = posts.join(long, "key", "left")
-    short = posts.where(F.col("count").isNull()).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "u long, v long")
-    parts = F.ceil(F.col("count") / chunk)
-    dealt = posts.where(F.col("count").isNotNull()).withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("fp"), "parts"))
+    short = posts.where(F.col("count").isNull()).select("key", "fp", "node", "check").repartition("key").sortWithinPartitions("key").mapInArrow(_linked(check_bits), "u long, v long")
+    dealt = posts.where(F.col("count").isNotNull()).withColumn("parts", F.ceil(F.col("count") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("node"), "parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk").mapInArrow(_linked_chunks, "u long, v long")
+    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "node", "check")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked_chunks(check_bits), "u long, v long")
     return short.unionByName(dealt)
 
 
@@ -273,13 +271,75 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, Dat
     scratch = common.Scratch(docs.sparkSession)
     found = scratch.table("fingerprints", fingerprinted(docs, words))
     nodes = scratch.table("nodes", found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = links_between(nodes.select("fp"), scratch)
+    links = links_between(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), F.lit(0).cast("long").alias("check")), scratch)
     roots = scratch.table("roots", components(links, scratch))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least_of = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return found, scratch.table("named", named.join(least_of, "root").select("fp", "component_id"))
 
 
+def word_fingerprints(texts: list[bytes], fields: int) -> np.ndarray:
+    """(texts, fields) uint64 SimHashes of each text's set of words, by so many hash functions."""
+    out, hashes, counts, at = np.zeros((len(texts), fields), np.uint64), [], [], 0
+
+    def flush(upto: int) -> None:
+        n, h = np.array(counts, np.int64), np.array(hashes, np.uint64)
+        some = np.flatnonzero(n)
+        for k in range(fields if len(some) else 0):
+            x = (h ^ np.uint64(0xA0761D6478BD642F * (k + 1) % (1 << 64))) * np.uint64(0xE7037ED1A0B428DB)
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0x8EBC6AF09C88C6E3)
+            bits = np.unpackbits((x ^ x >> np.uint64(32)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            sums = np.zeros((len(n), 64), np.int64)
+            sums[some] = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
+            out[at:upto, k] = np.packbits(2 * sums > n[:, None], axis=1).view(">u8")[:, 0]
+
+    digest = xxhash.xxh64_intdigest
+    for k, t in enumerate(texts):
+        words = set(t.lower().split())
+        hashes += [digest(w, SEED) for w in words]
+        counts.append(len(words))
+        if len(hashes) > BLOCK // 8 or k == len(texts) - 1:
+            flush(k + 1)
+            hashes, counts, at = [], [], k + 1
+    return out
+
+
+def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, fields: int = 4) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest id stays (then the smallest text hash).
+
+    Two texts are near copies if the SimHashes of their `words`-word shingles agree in `similarity` of their bits. That
+    is more bits than the index can promise to bring together, so the index is over SimHashes of the texts' word sets,
+    which an edit moves far less, by `fields` hash functions: a pair is met if one of them differs in at most BITS
+    bits. Texts without words form one group; a row without an id is the last of its group.
+    """
+    scratch, names = common.Scratch(docs.sparkSession), docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    rows = plain.withColumn("th", F.xxhash64(text))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, ends = common.utf8(batch["text"])
+            raw, ends = body.tobytes(), ends.tolist()
+            texts = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            fps = word_fingerprints(texts, fields)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * fields, pa.int32()), pa.array(fps.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], lists, pa.array(fingerprints_of(texts, words).view(np.int64))], names=["doc_id", "th", "fps", "check"])
+
+    signs = rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).mapInArrow(run, f"doc_id {kind}, th long, fps array<long>, check long")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    signs = scratch.table("signs", signs.withColumn("node", F.xxhash64("fps", "check")))
+    nodes = scratch.table("nodes", signs.groupBy("node").agg(F.first("fps").alias("fps"), F.first("check").alias("check"), F.min(order).alias("least")))
+    links = links_between(nodes.select("node", "fps", "check"), scratch, int(64 * (1 - similarity) + 1e-9))
+    roots = scratch.table("roots", components(links, scratch))
+    named = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    kept = scratch.table("kept", named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.th").alias("kept_th")))
+    out = rows.join(kept, doc_id.eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")
+    first = F.row_number().over(W.partitionBy(doc_id, "th").orderBy(F.lit(0)))
+    return out.withColumn("nth", first).where(F.col("nth") == 1).select(*plain.columns).toDF(*names)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found, named = near_duplicates(common.documents(spark, sf_dir))
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
