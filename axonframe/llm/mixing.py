@@ -51,12 +51,13 @@ def demand_inverse(share: Column, tilt: Column) -> Column:
     return F.when(tilt == 0, share).otherwise(bent)
 
 
-def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source_key, size, place): place orders a source's documents, whatever the partitions are."""
-    rows = common.pick(docs, doc_id=doc_id, text=text, source=source)
+def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, source_key, size, place, and `keep`): place orders a source's documents, whatever the partitions are."""
+    keep = keep or []
+    rows = common.pick(docs, doc_id=doc_id, text=text, source=source, **{c: c for c in keep})
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    return rows.select("doc_id", key.alias("source_key"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"))
+    return rows.select("doc_id", key.alias("source_key"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"), *keep)
 
 
 def mix(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, tilts: tuple = TILTS) -> DataFrame:

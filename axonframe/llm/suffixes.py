@@ -249,8 +249,8 @@ def _hashed_windows(length: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their spans to what is left of them."""
+def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
+    """Texts and their spans to what is left of them; as text, without characters that lost a byte."""
     for batch in batches:
         body, ends = common.utf8(batch["text"])
         kept, removed, spans = [], [], []
@@ -273,11 +273,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(int(gone.sum()))
             spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.diff(ends)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "spans", "kept"])
+        left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.diff(ends)), pa.array(removed, pa.int64()), pa.array(spans, kind), left], names=["row", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
-    """(row, n_bytes, n_removed, spans, kept): row holds docs' columns `keep` (doc_id if not given) as a struct."""
+def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """(row, n_bytes, n_removed, spans, kept): row holds docs' columns `keep` (doc_id if not given) as a struct; kept
+    are bytes, or text without characters of which a byte went."""
     scratch = common.Scratch(docs.sparkSession)
     names = keep or ["doc_id"]
     rows = common.pick(docs, doc_id="doc_id", text="text", **{f"keep{k}": c for k, c in enumerate(names)})
@@ -317,7 +319,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None)
     cuts = placed.select("doc_id", "th", "a", "s", "starts").join(result, ["a", "s"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "low", "high")).alias("found"))
     cuts = scratch.table("cuts", cuts)
     out = rows.join(cuts, same(rows, cuts), "left").select("row", "text", "found")
-    return out.mapInArrow(_cut, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    kept = "string" if as_text else "binary"
+    return out.mapInArrow(lambda b: _cut(b, as_text), f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept {kept}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
