@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from . import common
 LENGTH, GRAM = 200, 64
 #: Distinct segments of one anchor that one task sorts; bytes sorted at once.
 MOST_SEGMENTS, SORT_BYTES, BLOCK = 3000, 1 << 20, 1 << 18
+RUNS = "array<struct<low: long, high: long>>"
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 34) - 1)
 
@@ -118,24 +120,38 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string, which of its windows of `length` bytes start anywhere else among the strings."""
+def repeated_runs(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, low, high): the byte runs of the strings that are covered by windows of `length` bytes which start
+    anywhere else among the strings."""
     joined = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8)
     symbols = joined.astype(np.int64) + 2
-    ends = np.cumsum([len(p) + 1 for p in parts])
+    sizes = np.array([len(p) + 1 for p in parts])
+    ends = np.cumsum(sizes)
     symbols[ends - 1] = 1  # below every byte, so no window matches across strings
     order = suffix_array(symbols)
-    part = np.searchsorted(ends, order, side="right")
-    whole = order + length <= ends[part] - 1
+    whole = (np.arange(len(joined)) + length < np.repeat(ends, sizes))[order]
     row = np.flatnonzero(whole[1:] & whole[:-1])
-    views, same = np.lib.stride_tricks.sliding_window_view(joined, length), np.zeros(len(row), bool)
-    for k in range(0, len(row), 1 << 15):
-        r = row[k : k + (1 << 15)]
-        same[k : k + len(r)] = (views[order[r]] == views[order[r + 1]]).all(1)
-    hit = np.zeros(len(joined), bool)
-    hit[order[row[same]]] = hit[order[row[same] + 1]] = True
-    starts = ends - [len(p) + 1 for p in parts]
-    return [np.flatnonzero(hit[a:b]) for a, b in zip(starts, ends, strict=True)]
+    left, right = order[row], order[row + 1]
+    words = _words(joined)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        same = words[left + at] == words[right + at]
+        left, right = left[same], right[same]
+    hit = np.zeros(len(joined) + 1, bool)
+    hit[left] = hit[right] = True
+    start = np.flatnonzero(hit[:-1] & ~np.concatenate(([False], hit[:-2])))
+    stop = np.flatnonzero(hit[:-1] & ~hit[1:]) + length
+    part = np.searchsorted(ends, start, side="right")
+    base = (ends - sizes)[part]
+    return part, start - base, stop - base
+
+
+def _words(joined: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number."""
+    wide = np.concatenate((joined, np.zeros(8, np.uint8)))
+    out = np.zeros(len(joined), np.uint64)
+    for k in range(8):
+        out[k::8] = wide[k : k + (len(joined) - k + 7) // 8 * 8].view("<u8")
+    return out
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------------
@@ -214,15 +230,16 @@ def _placed(length: int):
 
 
 def _sorted_here(length: int):
-    """Segments in the order of their anchors to (a, s, hits): windows that start in another segment too."""
+    """Segments in the order of their anchors to (a, s, runs): bytes of windows that start in another segment too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
 
         def flush(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            hits = repeated_windows([r[2] for r in rows], length)
-            found = [(r, h) for r, h in zip(rows, hits, strict=True) if len(h)]
-            values = pa.array(np.concatenate([h for _, h in found]) if found else np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r, _ in found], pa.int64()), pa.array([r[1] for r, _ in found], pa.int64()), _lists(values, np.array([len(h) for _, h in found], np.int64))], names=["a", "s", "hits"])
+            part, low, high = repeated_runs([r[2] for r in rows], length)
+            hit, first = np.unique(part, return_index=True)
+            counts = np.diff(np.append(first, len(part)))
+            ranges = pa.StructArray.from_arrays([pa.array(low), pa.array(high)], ["low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in hit], pa.int64()), pa.array([rows[k][1] for k in hit], pa.int64()), _lists(ranges, counts)], names=["a", "s", "runs"])
 
         size = 0
         for batch in batches:
@@ -249,32 +266,41 @@ def _hashed_windows(length: int):
     return run
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
     """Texts and their spans to what is left of them; as text, without characters that lost a byte."""
     for batch in batches:
         body, ends = common.utf8(batch["text"])
-        kept, removed, spans = [], [], []
-        for k, found in enumerate(batch["found"].to_pylist()):
-            part = body[ends[k] : ends[k + 1]]
-            if not found:
-                kept.append(part.tobytes())
-                removed.append(0)
-                spans.append([])
-                continue
-            edge = np.zeros(len(part) + 1, np.int64)
-            for f in found:
-                starts = np.array(f["starts"], np.int64)
-                for low, high in zip(f["low"], f["high"], strict=True):
-                    np.add.at(edge, starts + low, 1)
-                    np.add.at(edge, starts + high, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            kept.append(part[~gone].tobytes())
-            removed.append(int(gone.sum()))
-            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.diff(ends)), pa.array(removed, pa.int64()), pa.array(spans, kind), left], names=["row", "n_bytes", "n_removed", "spans", "kept"])
+        found = batch["found"].fill_null([]) if batch["found"].null_count else batch["found"]
+        low, high = (found.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(found).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        kept, sizes, removed, spans, counts = [], [], [], [[], []], []
+        for i, j in common.blocks(ends, BLOCK):
+            part, own = body[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+            of = np.repeat(own[:-1], np.diff(cuts[i : j + 1]))
+            a, b = low[cuts[i] : cuts[j]] + of, high[cuts[i] : cuts[j]] + of
+            gone = np.cumsum(np.bincount(a, minlength=len(part) + 1) - np.bincount(b, minlength=len(part) + 1))[:-1] > 0
+            total = np.concatenate(([0], np.cumsum(gone)))[own]
+            removed.append(np.diff(total))
+            sizes.append(np.diff(own) - removed[-1])
+            kept.append(part[~gone])
+            edge = np.zeros(len(part) + 1, bool)
+            edge[own] = True  # a run ends with its text
+            before, after = np.concatenate(([False], gone)), np.concatenate((gone, [False]))
+            first, last = np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
+            text = np.searchsorted(own, first, side="right") - 1
+            spans[0].append(first - own[text])
+            spans[1].append(last - own[text])
+            counts.append(np.bincount(text, minlength=j - i))
+        offsets = np.concatenate(([0], np.cumsum(_joined(sizes)))).astype(np.int64)
+        left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(kept).tobytes() if kept else b"")]).cast(pa.binary())
+        if as_text:
+            left = pa.array([x.decode("utf-8", "ignore") for x in left.to_pylist()], pa.string())
+        pairs = pa.StructArray.from_arrays([pa.array(_joined(x)) for x in spans], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.diff(ends)), pa.array(_joined(removed)), _lists(pairs, _joined(counts)), left], names=["row", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -307,16 +333,17 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
         small = distinct.join(large, "a", "left_anti")
         windows = scratch.table("windows", distinct.join(large, "a", "left_semi").mapInArrow(_hashed_windows(length), "w binary, a long, s long, hit long"))
         twice = windows.groupBy("w").count().where(F.col("count") > 1).select("w")
-        parts.append(windows.join(twice, "w").groupBy("a", "s").agg(F.collect_list("hit").alias("hits")))
-    parts.append(small.repartition("a").sortWithinPartitions("a", "s").mapInArrow(_sorted_here(length), "a long, s long, hits array<long>"))
-    spans = [p.select("a", "s", F.col("hits").alias("low"), F.transform("hits", lambda h: h + length).alias("high")) for p in parts]
+        parts.append(windows.join(twice, "w").groupBy("a", "s").agg(F.collect_list(F.struct(F.col("hit").alias("low"), (F.col("hit") + length).alias("high"))).alias("runs")))
+    parts.append(small.repartition("a").sortWithinPartitions("a", "s").mapInArrow(_sorted_here(length), f"a long, s long, runs {RUNS}"))
     copied = placed.groupBy("a", "s").agg(F.sum(F.size("starts")).alias("n"), F.max("bytes").alias("bytes")).where(F.col("n") > 1)
-    spans.append(copied.select("a", "s", F.array(F.lit(0).cast("long")).alias("low"), F.array("bytes").alias("high")))
-    result = spans[0]
-    for s in spans[1:]:
-        result = result.unionByName(s)
+    parts.append(copied.select("a", "s", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high"))).alias("runs")))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
     result = scratch.table("result", result)
-    cuts = placed.select("doc_id", "th", "a", "s", "starts").join(result, ["a", "s"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "low", "high")).alias("found"))
+    shifted = F.flatten(F.transform("starts", lambda x: F.transform("runs", lambda r: F.struct((r["low"] + x).alias("low"), (r["high"] + x).alias("high")))))
+    cuts = placed.select("doc_id", "th", "a", "s", "starts").join(result, ["a", "s"]).select("doc_id", "th", shifted.alias("runs"))
+    cuts = cuts.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("found"))
     cuts = scratch.table("cuts", cuts)
     out = rows.join(cuts, same(rows, cuts), "left").select("row", "text", "found")
     kept = "string" if as_text else "binary"
