@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import images, signals, spiking  # noqa: F401  (they register their queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = signals.QUERIES
+ORACLES: dict[str, str] = signals.ORACLES
