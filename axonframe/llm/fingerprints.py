@@ -100,7 +100,11 @@ def chosen(body: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> tuple[np.nda
         won = key[at] & (1 << 40) - 1
         new = np.flatnonzero(np.concatenate(([True], won[1:] != won[:-1])))
         wins, won = np.diff(np.append(new, len(won))), won[new]
-        won = won[(wins >= np.minimum(WINS, hoods[text[won]])) & (ranks[won] < BINS)]
+        of, fit = text[won], ranks[won] < BINS
+        fit |= np.bincount(of, fit, len(sizes))[of] == 0  # a text of near-constant windows alone has to do with those
+        most = np.zeros(len(sizes), np.int64)
+        np.maximum.at(most, of[fit], wins[fit])
+        won = won[fit & (wins >= np.minimum(WINS, most[of]))]
         texts.append(text[won])
         hashes.append(_hashed(np.lib.stride_tricks.sliding_window_view(body, WIDTH)[won]) if len(won) else np.zeros(0, np.uint64))
     short = np.flatnonzero((sizes > 0) & (sizes < WIDTH))
