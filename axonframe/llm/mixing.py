@@ -96,7 +96,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     scratch = common.Scratch(spark)
     sizes = scratch.table("sizes", measured(common.documents(spark, sf_dir)))
     mixed = scratch.table("mixed", mix(sizes))
-    return training_order(mixed).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
+    return training_order(mixed).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", (F.round("position", 9) + 0.0).alias("position"))
 
 
 ORACLE = r"""
@@ -120,6 +120,6 @@ run AS (
 SELECT doc_id, size, s AS source_size, round(target, 6) AS target,
   (greatest(0, least(size, asked - st)) + greatest(0, least(size, asked - st - s)) + greatest(0, least(size, asked - st - 2 * s)))::BIGINT AS taken,
   CASE WHEN asked - st > 0 AND size > 0 THEN round(CASE WHEN tilt = 0 THEN st / asked::DOUBLE
-    ELSE (-(1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (st / asked::DOUBLE))) / (2 * tilt) END, 9) END AS position
+    ELSE (-(1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (st / asked::DOUBLE))) / (2 * tilt) END, 9) + 0.0::DOUBLE END AS position
 FROM run
 """

@@ -239,16 +239,16 @@ def components(links: DataFrame, scratch: common.Scratch, most_rounds: int = 60)
     Large-star and small-star steps by turns until no link changes; each step's links are a table of their own. A
     star's centre may hold many links, so neighbours are never gathered: minima are aggregated and joined back.
     """
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, name: str) -> DataFrame:
         both = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(F.col("v").alias("a"), F.col("u").alias("b")))
         if not large:
             both = both.where(F.col("b") < F.col("a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        rows = both.join(least, "a")
+        least = scratch.table(f"{name}-least", both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        rows = both.join(least, "a")  # two plain exchanges, so a centre's links can be split over tasks
         moved = rows.where(F.col("b") > F.col("a") if large else F.col("b") != F.col("m")).select(F.col("m").alias("u"), F.col("b").alias("v"))
         if not large:
             moved = moved.unionByName(least.select(F.col("m").alias("u"), F.col("a").alias("v")))
-        return moved.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return scratch.table(name, moved.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
     def sign(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -257,8 +257,9 @@ def components(links: DataFrame, scratch: common.Scratch, most_rounds: int = 60)
     for k in range(most_rounds):
         if not now.head(1):
             break
-        now = scratch.table(f"links{k + 1}", star(star(now, True), False))
-        scratch.drop(f"links{k}")
+        now = star(star(now, True, f"large{k}"), False, f"links{k + 1}")
+        for old in (f"links{k}", f"large{k}", f"large{k}-least", f"links{k + 1}-least"):
+            scratch.drop(old)
         if was == (was := sign(now)):
             break
     else:
