@@ -137,14 +137,30 @@ def _steady(section: np.ndarray) -> tuple[float, float]:
     return b1 - a1 * y + z2, z2
 
 
+#: Samples of a block in which a section's recurrence is a matrix product.
+BLOCK = 128
+
+
 def _pass(section: np.ndarray, x: np.ndarray, z1: float, z2: float) -> np.ndarray:
+    """One section over x from state (z1, z2). In a block the output is linear in its samples and the state before it:
+    products give all blocks' own part at once, and only the states are stepped from block to block."""
     b0, b1, b2, _, a1, a2 = (float(c) for c in section)
-    out = np.empty(len(x))
-    for k, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
-        out[k] = y
-    return out
+    n, size = len(x), min(BLOCK, max(1, len(x)))
+    step, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = np.empty((size + 1, 2, 2))
+    powers[0] = np.eye(2)
+    for k in range(size):
+        powers[k + 1] = step @ powers[k]
+    impulse = np.concatenate(([b0], powers[: size - 1, 0] @ feed))
+    k = np.arange(size)
+    own = np.where(k[:, None] >= k, impulse[np.abs(k[:, None] - k)], 0.0)
+    wide = np.concatenate((x, np.zeros(-n % size))).reshape(-1, size)
+    pushed = wide @ (powers[size - 1 :: -1][:size] @ feed)
+    states, now = np.empty((len(wide), 2)), np.array([z1, z2])
+    for j in range(len(wide)):
+        states[j] = now
+        now = powers[size] @ now + pushed[j]
+    return (wide @ own.T + states @ powers[:size, 0].T).reshape(-1)[:n]
 
 
 def _forward(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
