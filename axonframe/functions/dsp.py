@@ -171,11 +171,15 @@ def _forward(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x
 
 
+def reflection(sos: np.ndarray) -> int:
+    """Samples reflected at each end: three times the order."""
+    return 3 * (2 * len(sos) - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum())))
+
+
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward over x with odd reflections at both ends and steady initial states. A series no longer
     than the reflection comes back as it is."""
-    taps = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
-    pad = 3 * (taps - 1)
+    pad = reflection(sos)
     if len(x) <= pad:
         return x.copy()
     wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))

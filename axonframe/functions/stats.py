@@ -16,6 +16,8 @@ def hazen(df: DataFrame, value: str, p: float, by: Sequence[str] = (), out: str
     """
     p = min(100.0, max(0.0, p))
     keys = list(by)
+    if not keys:
+        return _hazen_of_all(df, value, p, out)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     w = W.partitionBy(*keys).orderBy("_v")
     ranked = counts.withColumn("_hi", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(W.partitionBy(*keys)))
@@ -26,6 +28,24 @@ def hazen(df: DataFrame, value: str, p: float, by: Sequence[str] = (), out: str
     return rows.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).alias(out))
 
 
+def _hazen_of_all(df: DataFrame, value: str, p: float, out: str, accuracy: int = 100_000) -> DataFrame:
+    """hazen of a whole table. Approximate percentiles with a known rank error give a narrow band that must hold the
+    value; counting what lies below and ranking the band alone makes it exact, so no task sees all values."""
+    spark, rows = df.sparkSession, df.where(F.col(value).isNotNull())
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([(None,)], f"{out} double")
+    slack = 3 / accuracy + 2 / n
+    low, high = rows.agg(F.percentile_approx(value, [max(0.0, p / 100 - slack), min(1.0, p / 100 + slack)], accuracy).alias("q")).first()["q"]
+    place = min(max(n * p / 100 + 0.5, 1.0), float(n))
+    below = rows.where(F.col(value) < low).count()
+    low_rank, high_rank = int(place), -int(-place // 1)
+    band = rows.where(F.col(value).between(low, high)).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = band.withColumn("_hi", F.lit(below) + F.sum("_n").over(W.partitionBy().orderBy("_v"))).withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
+    at = lambda k: F.max(F.when((F.col("_lo") <= k) & (F.lit(k) <= F.col("_hi")), F.col("_v")))
+    return ranked.agg(at(low_rank).alias("_a"), at(high_rank).alias("_b")).select((F.col("_a") + (F.col("_b") - F.col("_a")) * (place - low_rank)).alias(out))
+
+
 def median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "med") -> DataFrame:
     return df.groupBy(*by).agg(F.median(value).alias(out))
 

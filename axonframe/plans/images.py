@@ -17,6 +17,7 @@ from ..sources import images as I
 from ..sources import readers as R
 from ..sources import views as V
 from ..streaming import live as J
+from .oracle import pass_sql
 from .signals import query
 from .spiking import HAZEN
 
@@ -169,9 +170,12 @@ def _(spark, d):
     return H.gray256(V.pixels(spark, d))
 
 
-@query("H17_gaussian", "frame, row, col", "v", """SELECT frame, row, r.col, sum(q.v * w) AS v FROM (SELECT frame, a.row, col, sum(pix.v * w) AS v FROM (SELECT unnest(range(1, 9)) AS row) a CROSS JOIN gw JOIN pix ON pix.row = greatest(1, least(8, a.row + gw.k)) GROUP BY 1, 2, 3) q
-  JOIN (SELECT b.col, gw.w, greatest(1, least(8, b.col + gw.k)) AS src FROM (SELECT unnest(range(1, 9)) AS col) b CROSS JOIN gw) r ON q.col = r.src GROUP BY 1, 2, 3""",
-  "gw AS (SELECT k, exp(-(k * k) / 8.0::DOUBLE) / sum(exp(-(k * k) / 8.0::DOUBLE)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k))")
+GW = "gw AS (SELECT k, exp(-(k * k) / 8.0::DOUBLE) / sum(exp(-(k * k) / 8.0::DOUBLE)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k))"
+GAUSS = """SELECT frame, row, r.col, sum(q.v * w) AS v FROM (SELECT frame, a.row, col, sum(p.v * w) AS v FROM (SELECT unnest(range(1, 9)) AS row) a CROSS JOIN gw JOIN {0} p ON p.row = greatest(1, least(8, a.row + gw.k)) GROUP BY 1, 2, 3) q
+  JOIN (SELECT b.col, gw.w, greatest(1, least(8, b.col + gw.k)) AS src FROM (SELECT unnest(range(1, 9)) AS col) b CROSS JOIN gw) r ON q.col = r.src GROUP BY 1, 2, 3"""
+
+
+@query("H17_gaussian", "frame, row, col", "v", GAUSS.format("pix"), GW)
 def _(spark, d):
     return H.gaussian_smooth(V.pixels(spark, d), 2.0)
 
@@ -197,7 +201,8 @@ def _(spark, d):
     return H.normalised(V.pixels(spark, d), "frame")
 
 
-@query("H22_prepared", "frame, row, col", "v")
+@query("H22_prepared", "frame, row, col", "v", f"SELECT frame, row, col, CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 0 END AS v FROM ({GAUSS.format('gry')}) WINDOW w AS (PARTITION BY frame)",
+  GW + ", gry AS (SELECT frame, row, col, round((v - min(v) OVER ()) * 255 / (max(v) OVER () - min(v) OVER ()))::DOUBLE AS v FROM pix)")
 def _(spark, d):
     return H.prepared(V.pixels(spark, d))
 
@@ -253,9 +258,13 @@ def _(spark, d):
     return _replayed(J.debounced_onsets(_stream(spark, d), 60.0, 500), "append")
 
 
-@query("J03_causal_filter", "channel, i", "y")
+SLOW = dsp.design("low", 2, 1.0, 10.0)
+
+
+@query("J03_causal_filter", "channel, i", "y", "SELECT user_id AS channel, event_id AS i, x AS y FROM evs JOIN cf ON cf.channel = evs.user_id AND cf.k = evs.k",
+  "evs AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value::DOUBLE AS v FROM events), evx AS (SELECT user_id AS channel, k, v AS x FROM evs), " + pass_sql("cf", "evx", SLOW, False))
 def _(spark, d):
-    return _replayed(J.causal_filter(_stream(spark, d), dsp.design("low", 2, 1.0, 10.0)), "append")
+    return _replayed(J.causal_filter(_stream(spark, d), SLOW), "append")
 
 
 @query("J04_sql_views", "channel, n", "top", "SELECT channel, count(*) AS n, max(y) AS top FROM sig GROUP BY 1")

@@ -32,3 +32,36 @@ def oracle(keys: str, values: str, sql: str, extra: str = "") -> str:
 def rounded(df: DataFrame, keys: str, values: str) -> DataFrame:
     ks = keys.replace(",", " ").split()
     return df.select(*ks, *((F.round(F.col(v).cast("double"), 6) + 0.0).alias(v) for v in values.replace(",", " ").split()))
+
+
+def pass_sql(name: str, source: str, sos, steady: bool) -> str:
+    """CTEs that run sections over `source` (channel, k from 1, x) by recursion; the last is `name` (channel, k, x).
+    steady: each section starts as if the first sample had always been there."""
+    out, before, level = [], source, 1.0
+    for j, section in enumerate(sos):
+        b0, b1, b2, _, a1, a2 = (float(v) for v in section)
+        y = (b0 + b1 + b2) / (1 + a1 + a2)
+        z2 = (b2 - a2 * y) * level if steady else 0.0
+        z1 = (b1 - a1 * y) * level + z2 if steady else 0.0
+        level, this, d = level * y, f"{name}{j}", "::DOUBLE"
+        out.append(f"{this}f AS (SELECT channel, x AS f FROM {source} WHERE k = 1)")
+        out.append(f"""{this}r AS (WITH RECURSIVE w(channel, k, y, z1, z2) AS (
+  SELECT channel, 1::BIGINT, {b0!r}{d} * x + {z1!r}{d} * f, {b1!r}{d} * x - {a1!r}{d} * ({b0!r}{d} * x + {z1!r}{d} * f) + {z2!r}{d} * f, {b2!r}{d} * x - {a2!r}{d} * ({b0!r}{d} * x + {z1!r}{d} * f) FROM {before} JOIN {this}f USING (channel) WHERE k = 1
+  UNION ALL SELECT w.channel, s.k, {b0!r}{d} * s.x + w.z1, {b1!r}{d} * s.x - {a1!r}{d} * ({b0!r}{d} * s.x + w.z1) + w.z2, {b2!r}{d} * s.x - {a2!r}{d} * ({b0!r}{d} * s.x + w.z1) FROM w JOIN {before} s ON s.channel = w.channel AND s.k = w.k + 1) SELECT * FROM w)""")
+        out.append(f"{this} AS (SELECT channel, k, y AS x FROM {this}r)")
+        before = this
+    out.append(f"{name} AS (SELECT * FROM {before})")
+    return ",\n".join(out)
+
+
+def zero_phase_sql(name: str, source: str, sos, pad: int) -> str:
+    """CTEs from `source` (channel, i, y) to `name` (channel, i, y): odd reflections, forward, backward; series no longer
+    than the reflection as they are."""
+    return f"""{name}n AS (SELECT channel, max(i) AS n FROM {source} GROUP BY 1),
+{name}e AS (SELECT channel, i + {pad} AS k, y AS x FROM {source} JOIN {name}n USING (channel) WHERE n > {pad} UNION ALL
+  SELECT a.channel, {pad} + 2 - a.i, 2 * b.y - a.y FROM {source} a JOIN {source} b ON a.channel = b.channel AND b.i = 1 JOIN {name}n m ON m.channel = a.channel WHERE n > {pad} AND a.i BETWEEN 2 AND {pad} + 1 UNION ALL
+  SELECT a.channel, {pad} + 2 * n - a.i, 2 * b.y - a.y FROM {source} a JOIN {name}n m ON m.channel = a.channel JOIN {source} b ON a.channel = b.channel AND b.i = n WHERE n > {pad} AND a.i BETWEEN n - {pad} AND n - 1),
+{pass_sql(name + "a", name + "e", sos, True)},
+{name}b AS (SELECT channel, n + 2 * {pad} + 1 - k AS k, x FROM {name}a JOIN {name}n USING (channel)),
+{pass_sql(name + "c", name + "b", sos, True)},
+{name} AS (SELECT channel, n + {pad} + 1 - k AS i, x AS y FROM {name}c JOIN {name}n USING (channel) WHERE k BETWEEN {pad} + 1 AND n + {pad} UNION ALL SELECT channel, i, y FROM {source} JOIN {name}n USING (channel) WHERE n <= {pad})"""

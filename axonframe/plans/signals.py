@@ -15,7 +15,7 @@ from ..operators import trials as D
 from ..sources import readers as R
 from ..sources import sinks as S
 from ..sources import views as V
-from .oracle import oracle, rounded
+from .oracle import oracle, rounded, zero_phase_sql
 
 QUERIES, ORACLES = {}, {}
 FS = V.FS
@@ -281,22 +281,56 @@ def _(spark, d):
     return C.decimated(V.signal(spark, d), 5)
 
 
-@query("C02_decimate_smoothly", "channel, i", "t, y")
+def _zero_phase_sql(name: str, source: str, sos) -> str:
+    return zero_phase_sql(name, source, sos, dsp.reflection(sos))
+
+
+#: Designs of the queries below, at the test signals' rate.
+SMOOTH, LOW, LINE, BAND = dsp.design("low", 4, 0.8 * 4.0 / 2, FS), dsp.design("low", 4, 1.0, FS), dsp.notch(2.0, FS), dsp.design("band", 2, (0.5, 3.0), FS, dsp.RIPPLE)
+LFP = dsp.design("low", 4, 2.0, FS)
+
+
+@query("C02_decimate_smoothly", "channel, i", "t, y", f"SELECT channel, (i - 1) // 3 + 1 AS i, ((i - 1) // 3 / ({FS}::DOUBLE / 3))::DOUBLE AS t, y FROM zp WHERE (i - 1) % 3 = 0", _zero_phase_sql("zp", "sig", SMOOTH))
 def _(spark, d):
     return C.decimated_smoothly(V.signal(spark, d), FS, 4.0)[0]
 
 
-@query("C03_butterworth", "kind, k", "b0, b1, b2, a1, a2")
+#: Squared gains from the definitions, with f the frequency in Hz: 1 / (1 + x^2n), or with a Chebyshev polynomial.
+WARP = "tan(pi() * {0} / 10.0::DOUBLE)"
+SHAPES = {
+    "low": "{w} / {a}",
+    "high": "{a} / {w}",
+    "band": "({w} * {w} - {a} * {b}) / ({w} * ({b} - {a}))",
+    "stop": "({w} * ({b} - {a})) / ({w} * {w} - {a} * {b})",
+}
+SPECS = (("low", (1.0,)), ("high", (1.0,)), ("band", (0.5, 2.0)), ("stop", (0.5, 2.0)))
+
+
+def _gain_sql(form: str) -> str:
+    def one(kind: str, edges: tuple) -> str:
+        x = SHAPES[kind].format(w=WARP.format("hz"), a=WARP.format(f"{edges[0]}::DOUBLE"), b=WARP.format(f"{edges[-1]}::DOUBLE"))
+        return f"SELECT '{kind}' AS kind, hz, {form.format(x=f'abs({x})')} AS gain FROM (SELECT k * 0.07::DOUBLE + 0.013::DOUBLE AS hz FROM (SELECT unnest(range(1, 70)) AS k))"
+
+    return " UNION ALL ".join(one(k, e) for k, e in SPECS)
+
+
+def _gains(spark, ripple: float | None) -> DataFrame:
+    hz = [k * 0.07 + 0.013 for k in range(1, 70)]
+    rows = []
+    for kind, edges in SPECS:
+        sos = dsp.design(kind, 4, edges if len(edges) > 1 else edges[0], FS, ripple)
+        rows += [(kind, h, float(g)) for h, g in zip(hz, np.abs(dsp.response(sos, 2 * np.pi * np.array(hz) / FS)), strict=True)]
+    return spark.createDataFrame(rows, "kind string, hz double, gain double")
+
+
+@query("C03_butterworth", "kind", "hz, gain", _gain_sql("1 / sqrt(1 + power({x}, 8))"))
 def _(spark, d):
-    specs = (("low", 1.0), ("high", 1.0), ("band", (0.5, 2.0)), ("stop", (0.5, 2.0)))
-    rows = [(kind, k, *map(float, s[:3]), float(s[4]), float(s[5])) for kind, c in specs for k, s in enumerate(dsp.design(kind, 4, c, FS))]
-    return spark.createDataFrame(rows, "kind string, k int, b0 double, b1 double, b2 double, a1 double, a2 double")
+    return _gains(spark, None)
 
 
-@query("C04_chebyshev", "kind, k", "b0, b1, b2, a1, a2")
+@query("C04_chebyshev", "kind", "hz, gain", _gain_sql("1 / sqrt(1 + (power(10::DOUBLE, 0.05::DOUBLE) - 1) * power(8 * power({x}, 4) - 8 * power({x}, 2) + 1, 2))"))
 def _(spark, d):
-    rows = [(kind, k, *map(float, s[:3]), float(s[4]), float(s[5])) for kind, c in (("low", 1.0), ("band", (0.5, 2.0))) for k, s in enumerate(dsp.design(kind, 4, c, FS, dsp.RIPPLE))]
-    return spark.createDataFrame(rows, "kind string, k int, b0 double, b1 double, b2 double, a1 double, a2 double")
+    return _gains(spark, dsp.RIPPLE)
 
 
 _TAPS = "taps AS (SELECT k, h / sum(h) OVER () AS h FROM (SELECT k, (CASE WHEN k = 5 THEN 0.4 ELSE sin(pi() * 0.4 * (k - 5)) / (pi() * (k - 5)) END) * (0.54 - 0.46 * cos(2 * pi() * k / 10)) AS h FROM (SELECT unnest(range(0, 11)) AS k)))"
@@ -307,9 +341,9 @@ def _(spark, d):
     return C.convolved(V.signal(spark, d), dsp.fir("low", 10, 2.0, FS))
 
 
-@query("C06_zero_phase", "channel, i", "t, y")
+@query("C06_zero_phase", "channel, i", "t, y", "SELECT channel, i, ((i - 1) / 10.0::DOUBLE)::DOUBLE AS t, y FROM zp", _zero_phase_sql("zp", "sig", LOW))
 def _(spark, d):
-    return C.filtered(V.signal(spark, d), dsp.design("low", 4, 1.0, FS))
+    return C.filtered(V.signal(spark, d), LOW)
 
 
 def _response_sql(sos: np.ndarray) -> str:
@@ -317,25 +351,22 @@ def _response_sql(sos: np.ndarray) -> str:
     return f"SELECT k, k * (5.0::DOUBLE / 1024) AS hz, {gain} AS gain FROM (SELECT k, k * (pi() / 1024) AS w FROM (SELECT unnest(range(0, 1024)) AS k))"
 
 
-_NOTCH = dsp.notch(2.0, FS)
-
-
-@query("C07_response", "k", "hz, gain", _response_sql(_NOTCH))
+@query("C07_response", "k", "hz, gain", _response_sql(LINE))
 def _(spark, d):
-    return C.frequency_response(spark, _NOTCH, FS)
+    return C.frequency_response(spark, LINE, FS)
 
 
-@query("C08_lfp_low_pass", "channel, i", "t, y")
+@query("C08_lfp_low_pass", "channel, i", "t, y", "SELECT channel, i, ((i - 1) / 10.0::DOUBLE)::DOUBLE AS t, y FROM zp", _zero_phase_sql("zp", "sig", LFP))
 def _(spark, d):
     return C.lfp(V.signal(spark, d), FS, FS, 2.0, None)[0]
 
 
-@query("C09_notch", "channel, i", "t, y")
+@query("C09_notch", "channel, i", "t, y", "SELECT channel, i, ((i - 1) / 10.0::DOUBLE)::DOUBLE AS t, y FROM zp", _zero_phase_sql("zp", "sig", LINE))
 def _(spark, d):
-    return C.filtered(V.signal(spark, d), dsp.notch(2.0, FS))
+    return C.filtered(V.signal(spark, d), LINE)
 
 
-@query("C10_multi_unit", "channel, i", "t, y")
+@query("C10_multi_unit", "channel, i", "t, y", "SELECT channel, i, ((i - 1) / 10.0::DOUBLE)::DOUBLE AS t, sum(y) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS y FROM zp", _zero_phase_sql("zp", "sig", BAND))
 def _(spark, d):
     return C.multi_unit(V.signal(spark, d), FS, C.Filter("band", "chebyshev", 2, (0.5, 3.0)), 300.0)
 

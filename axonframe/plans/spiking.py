@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +73,18 @@ def _(spark, d):
     return G.detected(V.signal(spark, d), "standard", "negative", 0.8, 3)
 
 
-@query("G06_detected_both", "channel, i, sign", "t, y")
+def _renamed(sql: str, by: str) -> str:
+    for name in ("th", "rn", "rs", "cd", "od", "pk"):
+        sql = re.sub(rf"\b{name}\b", f"{name}{by}", sql)
+    return sql
+
+
+def _side(sign: str, level: str, by: str) -> str:
+    return _renamed(f"th AS (SELECT channel, {level} AS threshold FROM mm), {CAND.format(sign + 'y')}, {OVER}, {KEPT}", by)
+
+
+@query("G06_detected_both", "channel, i, sign", "t, y", "SELECT channel, i, 1 AS sign, t, y FROM pku JOIN odu USING (channel, i) UNION ALL SELECT channel, i, -1, t, -y FROM pkd JOIN odd USING (channel, i)",
+  MADS.format("sig") + ", " + _side("", "med + 0.8::DOUBLE * mad", "u") + ", " + _side("-", "-(med - 0.8::DOUBLE * mad)", "d"))
 def _(spark, d):
     return G.detected(V.signal(spark, d), "mad", "both", 0.8, 3)
 
@@ -302,7 +315,12 @@ def _(spark, d):
     return spark.createDataFrame([(signals._refused(lambda: K.require_same_count(waves.where(F.col("spike") > 3), waves)),)], "refused boolean")
 
 
-@query("G41_silhouette", "", "score")
+SIL = """SELECT avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS score FROM (
+  SELECT spike, min(m) FILTER (c <> own) AS b, max(s) FILTER (c = own) / greatest(max(n) FILTER (c = own) - 1, 1) AS a, max(n) FILTER (c = own) AS n FROM
+    (SELECT x.spike, x.cluster AS own, y.cluster AS c, avg(power(list_distance(x.wave, y.wave), 2)) AS m, sum(power(list_distance(x.wave, y.wave), 2)) AS s, count(*) AS n FROM wav x, wav y GROUP BY 1, 2, 3) GROUP BY spike)"""
+
+
+@query("G41_silhouette", "", "score", SIL)
 def _(spark, d):
     return spark.createDataFrame([(float(K.silhouette(V.waves(spark, d), "wave")),)], "score double")
 

@@ -78,7 +78,9 @@ def union_trials(trials: DataFrame, file: str = "file") -> DataFrame:
     axis = trials.groupBy(file, "i").agg(F.first("t_rel").alias("t")).groupBy(file).agg(F.count("*").alias("n"), F.sum(F.xxhash64("i", "t").cast("decimal(38,0)")).alias("digest"))
     first = axis.orderBy(file).limit(1).select(F.col("n").alias("n0"), F.col("digest").alias("digest0"))
     good = axis.crossJoin(F.broadcast(first)).where((F.col("n") == F.col("n0")) & (F.col("digest") == F.col("digest0"))).select(file)
-    numbers = trials.select(file, "trial").distinct().join(good, file).withColumn("unit", F.row_number().over(W.orderBy(file, "trial")).cast("long"))
+    each = trials.select(file, "trial").distinct().join(good, file)
+    starts = each.groupBy(file).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(W.orderBy(file).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row a file
+    numbers = each.join(starts, file).withColumn("unit", (F.col("start") + F.row_number().over(W.partitionBy(file).orderBy("trial"))).cast("long"))
     return trials.join(numbers, [file, "trial"]).select(F.col("unit").alias("trial"), "i", "t_rel", "y")
 
 

@@ -93,6 +93,25 @@ def test_percentile_is_hazen(spark, p):
     assert stats.hazen(df, "v", p).first()["q"] == pytest.approx(np.percentile(x, p, method="hazen"))
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
+def test_percentile_of_all_is_exact_at_any_size(spark, n):
+    x = np.random.default_rng(n).integers(-50, 50, n) / 4
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    for p in (0, 0.3, 37, 99.95, 100):
+        got = stats.hazen(df, "v", p).first()["q"]
+        assert got is None if n == 0 else got == pytest.approx(np.percentile(x, p, method="hazen"))
+
+
+def test_kmeans_of_one_large_population(spark):
+    x, truth = blobs()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "spike long, features array<double>")
+    out, k, score = clusters.kmeans_at_scale(df, 10, range(2, 5))
+    labels = {r["spike"]: r["cluster"] for r in out.collect()}
+    assert k == 3 and score > 0.8 and len({(labels[j], t) for j, t in enumerate(truth)}) == 3
+    with pytest.raises(ValueError):
+        clusters.kmeans_at_scale(df, 1000, range(2, 3))
+
+
 def blobs(k=3, n=40, seed=2):
     rng = np.random.default_rng(seed)
     return np.concatenate([rng.normal(size=(n, 2)) * 0.2 + 5 * np.array([c, c % 2]) for c in range(k)]), np.repeat(np.arange(k), n)
