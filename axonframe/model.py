@@ -47,3 +47,34 @@ def scratch_path(spark, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/axonframe-{uuid.uuid4().hex}/{name}"
+
+
+def shipped(f):
+    """f(spark, ...), with the package at hand on the executors."""
+    import functools
+
+    @functools.wraps(f)
+    def run(spark, *args, **kwargs):
+        ship(spark)
+        return f(spark, *args, **kwargs)
+
+    return run
+
+
+def ship(spark) -> None:
+    """Hands this package to the executors' Python, where it need not be installed. Once a session; the driver serves
+    the file."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_axonframe_shipped", False):
+        return
+    name = os.path.realpath(os.path.join(tempfile.mkdtemp(), "axonframe.zip"))
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(name)
+    context._axonframe_shipped = True
