@@ -6,6 +6,8 @@ are a few numbers; filtering is applied to whole series where they lie.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Chebyshev pass-band ripple in dB; the notch's quality factor.
@@ -141,26 +143,31 @@ def _steady(section: np.ndarray) -> tuple[float, float]:
 BLOCK = 128
 
 
-def _pass(section: np.ndarray, x: np.ndarray, z1: float, z2: float) -> np.ndarray:
-    """One section over x from state (z1, z2). In a block the output is linear in its samples and the state before it:
-    products give all blocks' own part at once, and only the states are stepped from block to block."""
-    b0, b1, b2, _, a1, a2 = (float(c) for c in section)
-    n, size = len(x), min(BLOCK, max(1, len(x)))
+@lru_cache(256)
+def _products(section: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one section over a block: samples to outputs, state to outputs, samples to next state, state to next state."""
+    b0, b1, b2, _, a1, a2 = section
     step, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
-    powers = np.empty((size + 1, 2, 2))
+    powers = np.empty((BLOCK + 1, 2, 2))
     powers[0] = np.eye(2)
-    for k in range(size):
+    for k in range(BLOCK):
         powers[k + 1] = step @ powers[k]
-    impulse = np.concatenate(([b0], powers[: size - 1, 0] @ feed))
-    k = np.arange(size)
-    own = np.where(k[:, None] >= k, impulse[np.abs(k[:, None] - k)], 0.0)
-    wide = np.concatenate((x, np.zeros(-n % size))).reshape(-1, size)
-    pushed = wide @ (powers[size - 1 :: -1][:size] @ feed)
+    impulse = np.concatenate(([b0], powers[: BLOCK - 1, 0] @ feed))
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)
+    return np.where(lag >= 0, impulse[np.abs(lag)], 0.0).T, powers[:BLOCK, 0].T, powers[BLOCK - 1 :: -1] @ feed, powers[BLOCK]
+
+
+def _pass(section: np.ndarray, x: np.ndarray, z1: float, z2: float) -> np.ndarray:
+    """One section over x from state (z1, z2). In a block the output is linear in its samples and the state before it:
+    products give all blocks' own part at once, and only the states are stepped from block to block."""
+    own, given, push, step = _products(tuple(map(float, section)))
+    wide = np.concatenate((x, np.zeros(-len(x) % BLOCK))).reshape(-1, BLOCK)
+    pushed = wide @ push
     states, now = np.empty((len(wide), 2)), np.array([z1, z2])
     for j in range(len(wide)):
         states[j] = now
-        now = powers[size] @ now + pushed[j]
-    return (wide @ own.T + states @ powers[:size, 0].T).reshape(-1)[:n]
+        now = step @ now + pushed[j]
+    return (wide @ own + states @ given).reshape(-1)[: len(x)]
 
 
 def _forward(sos: np.ndarray, x: np.ndarray) -> np.ndarray:

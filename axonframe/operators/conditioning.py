@@ -1,16 +1,16 @@
 """Decimation, filtering and smoothing of signals.
 
-Recurrences run in an Arrow kernel on whole series; long ones are cut into chunks with a halo, in which the filter
+Recurrences run in an Arrow kernel on sorted whole series; long ones are cut into chunks with a halo, in which the filter
 settles, so that one series spreads over tasks. Sums with a fixed reach are windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,21 +61,54 @@ def filtered(df: DataFrame, coefficients: np.ndarray | None, by: Sequence[str] =
     rows = df.select(*by, "i", "t", "y")
     if coefficients is None:
         return rows
-    reach, names = halo(coefficients), [*by, "i", "t", "y"]
+    reach, names, keys = halo(coefficients), [*by, "i", "t", "y"], [*by, "_c"]
     c = F.floor((F.col("i") - 1) / chunk)
     near = F.array_distinct(F.array(c, F.greatest(F.floor((F.col("i") - 1 - reach) / chunk), F.lit(0)), F.floor((F.col("i") - 1 + reach) / chunk)))
     rows = rows.withColumn("_c", F.explode(near))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        y = pdf["y"].ffill().bfill().to_numpy(float)
-        fixed = dsp.zero_phase_fir(coefficients, y) if coefficients.ndim == 1 else dsp.zero_phase(coefficients, y)
-        pdf = pdf.assign(y=fixed)
-        own = (pdf["i"] - 1) // chunk == pdf["_c"]
-        return pdf.loc[own, names]
+    def whole_series(table: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+        """The complete series of sorted rows, filtered, and the rows of one that may go on."""
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for name in keys:
+            codes = table[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        ends = np.append(np.flatnonzero(new)[1:], table.num_rows)
+        ends = ends if last else ends[:-1]
+        cut = int(ends[-1]) if len(ends) else 0
+        y, out, first = table["y"].to_numpy().astype(float), np.empty(cut), 0
+        for end in ends.tolist():
+            x = held(y[first:end])
+            out[first:end] = dsp.zero_phase_fir(coefficients, x) if coefficients.ndim == 1 else dsp.zero_phase(coefficients, x)
+            first = end
+        done = table.slice(0, cut)
+        own = (done["i"].to_numpy() - 1) // chunk == done["_c"].to_numpy()
+        done = done.select(names).set_column(len(names) - 1, "y", pa.array(out, from_pandas=True))
+        return done.filter(pa.array(own)), table.slice(cut)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if open_ is None else pa.concat_tables([open_, table])
+            if table.num_rows:
+                done, open_ = whole_series(table, False)
+                yield from done.to_batches()
+        if open_ is not None and open_.num_rows:
+            yield from whole_series(open_, True)[0].to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(*by, "_c").applyInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "i")
+    return rows.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+
+
+def held(x: np.ndarray) -> np.ndarray:
+    """x with missing samples as the one before them, at the start as the first that there is."""
+    gone = np.isnan(x)
+    if not gone.any() or gone.all():
+        return x
+    at = np.maximum.accumulate(np.where(gone, -1, np.arange(len(x))))
+    return x[np.where(at < 0, np.flatnonzero(~gone)[0], at)]
 
 
 def decimated(df: DataFrame, n: int, by: Sequence[str] = KEYS) -> DataFrame:

@@ -134,6 +134,14 @@ def test_chunks_agree_with_the_whole(spark):
     assert len(cut) == 6000 and np.abs(np.array(whole) - cut).max() < 1e-5 * np.abs(x).max()
 
 
+def test_missing_samples_are_held(spark):
+    sos = dsp.design("low", 2, 100.0, 1000.0)
+    gaps, full = [None, None, 1, None, 5] + [2.0] * 60, [1, 1, 1, 1, 5] + [2.0] * 60
+    assert ys(conditioning.filtered(signal(spark, gaps), sos)) == pytest.approx(ys(conditioning.filtered(signal(spark, full), sos)))
+    assert ys(conditioning.filtered(signal(spark, [None] * 40), sos)) == [None] * 40
+    assert conditioning.filtered(signal(spark, [1.0]).limit(0), sos).count() == 0
+
+
 def test_decimation(spark):
     df = signal(spark, range(20), 10.0)
     assert ys(conditioning.decimated(df, 5)) == [0, 5, 10, 15]
