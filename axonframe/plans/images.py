@@ -40,8 +40,7 @@ DIFF = f"SELECT frame, avg(dv) AS value FROM (SELECT frame, abs(v - lag(v) OVER
 
 @query("A11_read_tiff", "frame, c, row, col", "v", "SELECT f AS frame, 1::BIGINT AS c, r AS row, c AS col, ((f * 31 + r * 7 + c * 3) % 251)::DOUBLE AS v FROM (SELECT unnest(range(1, 6)) AS f), (SELECT unnest(range(1, 9)) AS r), (SELECT unnest(range(1, 11)) AS c)")
 def _(spark, d):
-    """A stack written here, page by page, through Spark's own writer of bytes is not at hand, so a local file is used
-    in local mode and the decoder alone elsewhere."""
+    """Spark has no writer of raw bytes: in local mode a file is read, elsewhere the decoder alone runs."""
     f, r, c = np.meshgrid(np.arange(1, 6), np.arange(1, 9), np.arange(1, 11), indexing="ij")
     data = tiff([((f * 31 + r * 7 + c * 3) % 251).astype(np.uint8)[k] for k in range(5)])
     if spark.sparkContext.master.startswith("local["):

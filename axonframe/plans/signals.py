@@ -488,7 +488,7 @@ def _(spark, d):
     return D.channel_mean(V.signal(spark, d))
 
 
-DEPTHS = "dep AS (SELECT d.depth, s.channel, s.i, s.y FROM sig s JOIN (VALUES (5, 1), (3, 2), (9, 3), (2, 4), (7, 5)) d(channel, depth) USING (channel) WHERE i <= 40)"
+DEPTHS = "dep AS (SELECT d.depth, s.channel, s.i, s.y FROM sig s JOIN (VALUES (5::BIGINT, 1::BIGINT), (3, 2), (9, 3), (2, 4), (7, 5)) d(channel, depth) USING (channel) WHERE i <= 40)"
 
 
 @query("E06_csd", "depth, i", "y", """SELECT depth, i, coalesce(c, CASE WHEN depth = 1 THEN lead(c) OVER w ELSE lag(c) OVER w END) AS y FROM
@@ -498,7 +498,7 @@ def _(spark, d):
     return D.current_source_density(rows, 500_000.0, 5)
 
 
-@query("E07_channel_order", "depth, channel, i", "y", "SELECT depth, channel, i, y FROM dep", DEPTHS.replace("(5, 1)", "(5::BIGINT, 1::BIGINT)"))
+@query("E07_channel_order", "depth, channel, i", "y", "SELECT depth, channel, i, y FROM dep", DEPTHS)
 def _(spark, d):
     return D.ordered_channels(V.signal(spark, d).where(F.col("i") <= 40), (5, 3, 9, 2, 7))
 

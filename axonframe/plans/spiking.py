@@ -226,12 +226,18 @@ PAIR_CTES = """ct AS (SELECT cluster, k, avg(v) AS v FROM smp GROUP BY 1, 2),
 pr AS (SELECT x.cluster AS a, y.cluster AS b, corr(x.v, y.v) AS r, sqrt(sum((x.v - y.v) * (x.v - y.v))) AS d FROM ct x JOIN ct y ON x.k = y.k AND x.cluster < y.cluster GROUP BY 1, 2)"""
 
 
-@query("G27_merge_within", "spike, cluster", "")
+#: A cluster goes to another below it if their centroids are alike: the lowest such, or through the highest such on.
+ALIKE = PAIR_CTES + ", lk AS (SELECT b, {0}(a) AS a FROM pr WHERE a > 0 AND r > 0.2 AND d < 1.0 GROUP BY b)"
+ROOTS = "rt AS (WITH RECURSIVE w(c, x) AS (SELECT DISTINCT cluster, cluster FROM wav UNION ALL SELECT w.c, lk.a FROM w JOIN lk ON lk.b = w.x) SELECT c, min(x) AS x FROM w GROUP BY c)"
+NUMBERED = "SELECT spike, (CASE WHEN x = 0 THEN 0 ELSE dense_rank() OVER (ORDER BY x) - max(CASE WHEN x = 0 THEN 1 ELSE 0 END) OVER () END)::INTEGER AS cluster FROM (SELECT spike, x FROM wav JOIN rt ON c = cluster)"
+
+
+@query("G27_merge_within", "spike, cluster", "", NUMBERED, ALIKE.format("min") + ", rt AS (SELECT DISTINCT cluster AS c, coalesce(a, cluster) AS x FROM wav LEFT JOIN lk ON b = cluster)")
 def _(spark, d):
     return K.merged(V.waves(spark, d), 0.2, 1.0, chain=False)
 
 
-@query("G28_merge_similar", "spike, cluster", "")
+@query("G28_merge_similar", "spike, cluster", "", NUMBERED, ALIKE.format("max") + ", " + ROOTS)
 def _(spark, d):
     return K.merged(V.waves(spark, d), 0.2, 1.0)
 
