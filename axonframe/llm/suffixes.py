@@ -29,7 +29,7 @@ from . import common
 
 LENGTH, GRAM = 200, 64
 #: Distinct segments of one anchor that one task sorts; bytes sorted at once.
-MOST_SEGMENTS, SORT_BYTES, BLOCK = 3000, 1 << 20, 1 << 18
+MOST_SEGMENTS, SORT_BYTES, BLOCK = 3000, 1 << 19, 1 << 18
 RUNS = "array<struct<low: long, high: long>>"
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 34) - 1)
