@@ -50,17 +50,26 @@ def scratch_path(spark, name: str) -> str:
 
 
 def shipped(f):
-    """f(spark, ...), with the package at hand on the executors."""
+    """f(spark, ...), with the package at hand on the executors and Arrow batches of bounded size."""
     import functools
 
     @functools.wraps(f)
     def run(spark, *args, **kwargs):
         ship(spark)
+        bound_batches(spark)
         return f(spark, *args, **kwargs)
 
     return run
 
 
+def bound_batches(spark, size: str = "8m") -> None:
+    """Arrow batches of about 8 MB instead of Spark's 64, so that a task's Python holds a few of them at most, however
+    long the texts. A size that the session sets itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(key, size)
+
+
 def ship(spark) -> None:
     """Hands this package to the executors' Python, where it need not be installed. Once a session; the driver serves
     the file."""

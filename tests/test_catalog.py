@@ -24,3 +24,17 @@ def test_entry_and_contract(spark):
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    from axonframe import model
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    model.bound_batches(spark)
+    assert spark.conf.get(key) == "8m"
+    spark.conf.set(key, "3m")
+    model.bound_batches(spark)
+    assert spark.conf.get(key) == "3m"
+    spark.conf.set(key, before)
