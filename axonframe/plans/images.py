@@ -182,7 +182,7 @@ def _(spark, d):
 @query("H18_median", "frame, row, col", "v", """SELECT frame, row, col, median(coalesce(v, 0)) AS v FROM (SELECT f.frame, a.row, b.col, pix.v FROM (SELECT DISTINCT frame FROM pix WHERE frame < 60) f, (SELECT unnest(range(1, 9)) AS row) a, (SELECT unnest(range(1, 9)) AS col) b,
   (VALUES (-1), (0), (1)) x(dr), (VALUES (-1), (0), (1)) y(dc) LEFT JOIN pix ON pix.frame = f.frame AND pix.row = a.row + dr AND pix.col = b.col + dc) GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return H.median_smooth(V.pixels(spark, d).where(F.col("frame") < 60))
+    return H.median_smooth(V.pixels(spark, d))
 
 
 @query("H19_minmax", "frame, row, col", "v", f"SELECT frame, row, col, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER () + {EPS}) AS v FROM pix")
