@@ -88,7 +88,7 @@ def _(spark, d):
 
 @query("A03_channel_slice", "channel, i", "y", "SELECT no AS channel, i, y FROM sig JOIN idx USING (channel) WHERE no <= 25")
 def _(spark, d):
-    return R.channel_slice(*V.export_block(spark, d), range(1, 26))
+    return R.channel_slice(*V.export_block(spark, d))
 
 
 RATE = "SELECT '{0}' AS pair, coalesce(max(fs) FILTER (no = {1}), 1000) AS stim_fs, coalesce(max(fs) FILTER (no = {2}), 1000) AS flow_fs, coalesce(max(fs) FILTER (no = {2}), 1000) AS fs, coalesce(max(fs) FILTER (no = {1}), 1000) <> coalesce(max(fs) FILTER (no = {2}), 1000) AS differ FROM idx"

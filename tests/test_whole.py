@@ -18,3 +18,12 @@ def test_median_smooths_every_frame(spark, sf, duck):
     df = catalog.QUERIES["H18_median"](spark, sf)
     assert df.count() == V.pixels(spark, sf).count()
     same(df, duck, widened("H18_median", " WHERE frame < 60"))
+
+
+def test_every_channel_is_sliced(spark, sf, duck, monkeypatch):
+    same(catalog.QUERIES["A03_channel_slice"](spark, sf), duck, widened("A03_channel_slice", " WHERE no <= 25"))
+    block = spark.createDataFrame([(p, float(p)) for p in range(1, 91)], "pos long, v double")
+    index = spark.createDataFrame([(c, 3 * c - 2, 3 * c) for c in range(1, 31)], "channel long, start long, end long")
+    monkeypatch.setattr(V, "export_block", lambda spark, d: (block, index))
+    got = sorted(map(tuple, catalog.QUERIES["A03_channel_slice"](spark, "").collect()))
+    assert got == [(c, i, 3.0 * c - 3 + i) for c in range(1, 31) for i in (1, 2, 3)]
