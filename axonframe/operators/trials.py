@@ -92,14 +92,16 @@ def channel_mean(df: DataFrame) -> DataFrame:
 def current_source_density(df: DataFrame, spacing_um: float, depths: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, depth, i, y): minus the second difference along depth over spacing squared; the ends repeat their neighbour.
 
-    df: (by, depth 1..depths, i, y). Needs three depths.
+    df: (by, depth 1..depths, i, y). Needs three depths. Where a depth next to it lacks the sample, a depth's density is
+    NULL; an end's is NULL where its neighbour's is.
     """
     if depths < 3:
         raise ValueError("current source density needs three channels")
     w, dz = W.partitionBy(*by, "i").orderBy("depth"), spacing_um * 1e-6
+    below, above = F.lag("depth").over(w) == F.col("depth") - 1, F.lead("depth").over(w) == F.col("depth") + 1
     csd = -(F.lead("y").over(w) - 2 * F.col("y") + F.lag("y").over(w)) / F.lit(dz * dz)
-    rows = df.withColumn("_c", csd)
-    filled = F.coalesce("_c", F.when(F.col("depth") == 1, F.lead("_c").over(w)).otherwise(F.lag("_c").over(w)))
+    rows = df.withColumn("_c", F.when(below & above, csd))
+    filled = F.when((F.col("depth") == 1) & above, F.lead("_c").over(w)).when((F.col("depth") == depths) & below, F.lag("_c").over(w)).otherwise(F.col("_c"))
     return rows.withColumn("y", filled).drop("_c")
 
 

@@ -494,13 +494,13 @@ DEPTHS = "dep AS (SELECT d.depth, s.channel, s.i, s.y FROM sig s JOIN (VALUES (5
 @query("E06_csd", "depth, i", "y", """SELECT depth, i, coalesce(c, CASE WHEN depth = 1 THEN lead(c) OVER w ELSE lag(c) OVER w END) AS y FROM
   (SELECT depth, i, -(lead(y) OVER w - 2 * y + lag(y) OVER w) / (0.5::DOUBLE * 0.5::DOUBLE) AS c FROM dep WINDOW w AS (PARTITION BY i ORDER BY depth)) WINDOW w AS (PARTITION BY i ORDER BY depth)""", DEPTHS)
 def _(spark, d):
-    rows = D.ordered_channels(V.signal(spark, d).where(F.col("i") <= 40), (5, 3, 9, 2, 7))
+    rows = D.ordered_channels(V.signal(spark, d), (5, 3, 9, 2, 7))
     return D.current_source_density(rows, 500_000.0, 5)
 
 
 @query("E07_channel_order", "depth, channel, i", "y", "SELECT depth, channel, i, y FROM dep", DEPTHS)
 def _(spark, d):
-    return D.ordered_channels(V.signal(spark, d).where(F.col("i") <= 40), (5, 3, 9, 2, 7))
+    return D.ordered_channels(V.signal(spark, d), (5, 3, 9, 2, 7))
 
 
 @query("E08_interval_histogram", "cluster, bin, n", "", "SELECT cluster, floor(g / 0.1)::BIGINT AS bin, count(*) AS n FROM (SELECT cluster, t - lag(t) OVER (PARTITION BY cluster ORDER BY t) AS g FROM wav) WHERE g IS NOT NULL GROUP BY 1, 2")

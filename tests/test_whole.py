@@ -27,3 +27,27 @@ def test_every_channel_is_sliced(spark, sf, duck, monkeypatch):
     monkeypatch.setattr(V, "export_block", lambda spark, d: (block, index))
     got = sorted(map(tuple, catalog.QUERIES["A03_channel_slice"](spark, "").collect()))
     assert got == [(c, i, 3.0 * c - 3 + i) for c in range(1, 31) for i in (1, 2, 3)]
+
+
+def test_depths_hold_every_sample(spark, sf, duck):
+    order = (5, 3, 9, 2, 7)
+    samples = {(order.index(r["channel"]) + 1, r["i"]): r["y"] for r in V.signal(spark, sf).where(F.col("channel").isin(*order)).collect()}
+    assert max(i for _, i in samples) > 40
+    same(catalog.QUERIES["E07_channel_order"](spark, sf), duck, widened("E07_channel_order", " WHERE i <= 40"))
+
+    def density(depth, i):
+        depth = min(max(depth, 2), 4)
+        y = [samples.get((k, i)) for k in (depth - 1, depth, depth + 1)]
+        return None if None in y else -(y[0] - 2 * y[1] + y[2]) / 0.25
+
+    got = {(r["depth"], r["i"]): r["y"] for r in catalog.QUERIES["E06_csd"](spark, sf).collect()}
+    assert got.keys() == samples.keys()
+    for (depth, i), y in got.items():
+        want = density(depth, i)
+        assert (y is None) == (want is None) and (y is None or abs(y - want) < 2e-6)
+
+
+def test_source_density_needs_its_neighbours(spark):
+    rows = [(1, 1, 1.0), (2, 1, 3.0), (3, 1, 4.0), (1, 2, 1.0), (3, 2, 5.0), (4, 2, 9.0), (5, 2, 2.0), (5, 3, 1.0)]
+    got = {(r["depth"], r["i"]): r["y"] for r in D.current_source_density(spark.createDataFrame(rows, "depth long, i long, y double"), 1e6, 5).collect()}
+    assert got == {(1, 1): 1.0, (2, 1): 1.0, (3, 1): None, (1, 2): None, (3, 2): None, (4, 2): 11.0, (5, 2): 11.0, (5, 3): None}
