@@ -244,7 +244,7 @@ def _(spark, d):
 
 @query("G29_merge_search", "spike, cluster", "")
 def _(spark, d):
-    return K.merge_search(_binned(spark, d).where(F.col("bin") <= 2))[0]
+    return K.merge_search(_binned(spark, d))[0]
 
 
 @query("G30_centroids", "cluster, k", "v", "SELECT cluster, k, avg(v) AS v FROM smp GROUP BY 1, 2")

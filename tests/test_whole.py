@@ -51,3 +51,8 @@ def test_source_density_needs_its_neighbours(spark):
     rows = [(1, 1, 1.0), (2, 1, 3.0), (3, 1, 4.0), (1, 2, 1.0), (3, 2, 5.0), (4, 2, 9.0), (5, 2, 2.0), (5, 3, 1.0)]
     got = {(r["depth"], r["i"]): r["y"] for r in D.current_source_density(spark.createDataFrame(rows, "depth long, i long, y double"), 1e6, 5).collect()}
     assert got == {(1, 1): 1.0, (2, 1): 1.0, (3, 1): None, (1, 2): None, (3, 2): None, (4, 2): 11.0, (5, 2): 11.0, (5, 3): None}
+
+
+def test_merge_search_labels_every_spike(spark, sf):
+    rows = catalog.QUERIES["G29_merge_search"](spark, sf).collect()
+    assert sorted(r["spike"] for r in rows) == sorted(r["spike"] for r in V.waves(spark, sf).collect())
