@@ -165,8 +165,7 @@ def _(spark, d):
 
 @query("G18_embedded", "spike", "f1, f2")
 def _(spark, d):
-    few = V.waves(spark, d).where(F.col("cluster") < 3)
-    return _wide(G.embedded(few, 2, rounds=120), 2)
+    return _wide(G.embedded(V.waves(spark, d), 2), 2)
 
 
 @query("G19_standardised", "spike", "f1, f2", "SELECT spike, (wave[1] - avg(wave[1]) OVER ()) / stddev_samp(wave[1]) OVER () AS f1, (wave[2] - avg(wave[2]) OVER ()) / stddev_samp(wave[2]) OVER () AS f2 FROM wav")

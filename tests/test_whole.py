@@ -56,3 +56,9 @@ def test_source_density_needs_its_neighbours(spark):
 def test_merge_search_labels_every_spike(spark, sf):
     rows = catalog.QUERIES["G29_merge_search"](spark, sf).collect()
     assert sorted(r["spike"] for r in rows) == sorted(r["spike"] for r in V.waves(spark, sf).collect())
+
+
+def test_every_waveform_is_embedded(spark, sf):
+    rows = catalog.QUERIES["G18_embedded"](spark, sf).collect()
+    assert sorted(r["spike"] for r in rows) == sorted(r["spike"] for r in V.waves(spark, sf).collect())
+    assert all(np.isfinite([r["f1"], r["f2"]]).all() for r in rows)
