@@ -184,7 +184,7 @@ def _(spark, d):
 
 @query("G21_gmm", "spike, cluster", "")
 def _(spark, d):
-    return K.labelled(_features(spark, d), "gmm", 5, ks=range(2, 5))
+    return K.labelled(_features(spark, d), "gmm", 5)
 
 
 @query("G22_dbscan", "spike, cluster", "")
@@ -199,12 +199,12 @@ def _(spark, d):
 
 @query("G23_drift_binned", "spike, bin, cluster", "")
 def _(spark, d):
-    return K.drift_binned(_features(spark, d), 4.0, 10, ks=range(2, 5))
+    return K.drift_binned(_features(spark, d), 4.0, 10)
 
 
 @query("G24_drift_dynamic", "spike, cluster", "")
 def _(spark, d):
-    return K.merged(K.labelled(K.with_time_feature(_features(spark, d)), "kmeans", 5, ks=range(2, 6)), 0.8, 0.5, chain=False)
+    return K.merged(K.labelled(K.with_time_feature(_features(spark, d)), "kmeans", 5), 0.8, 0.5, chain=False)
 
 
 @query("G25_large_enough", "spike, cluster", "", "SELECT spike, CASE WHEN count(*) OVER (PARTITION BY cluster) < 50 THEN 0 ELSE cluster END AS cluster FROM wav")

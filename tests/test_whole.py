@@ -62,3 +62,14 @@ def test_every_waveform_is_embedded(spark, sf):
     rows = catalog.QUERIES["G18_embedded"](spark, sf).collect()
     assert sorted(r["spike"] for r in rows) == sorted(r["spike"] for r in V.waves(spark, sf).collect())
     assert all(np.isfinite([r["f1"], r["f2"]]).all() for r in rows)
+
+
+def test_model_selection_covers_the_whole_range(spark, monkeypatch):
+    centres = 20 * np.array([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)])
+    noise = np.random.default_rng(5).normal(scale=0.1, size=(320, 3))
+    rows = [(k, k % 40 / 10, k % 8, (centres[k % 8] + noise[k]).tolist() + [0.0] * 61) for k in range(320)]
+    waves = spark.createDataFrame(rows, "spike long, t double, cluster int, wave array<double>")
+    monkeypatch.setattr(V, "waves", lambda spark, d: waves)
+    for name in ("G21_gmm", "G23_drift_binned", "G24_drift_dynamic"):
+        got = catalog.QUERIES[name](spark, "").collect()
+        assert len({r["cluster"] for r in got}) > 5, name
