@@ -29,6 +29,9 @@ SHARED = 8 - BITS
 #: Postings of one key that one task compares at once; longer lists are dealt out as pairs of chunks.
 CHUNK = 4096
 BLOCK = 1 << 18
+#: Near copies: keys of a text, min-hashes of a key, and shingles of one task's chunk.
+BANDS, ROWS, SHINGLES = 32, 4, 1 << 21
+MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, ROWS, 2), np.uint64) | np.array([0, 1], np.uint64)
 
 
 def _design() -> list[tuple[int, int, int]]:
@@ -305,13 +308,110 @@ def word_fingerprints(texts: list[bytes], fields: int) -> np.ndarray:
     return out
 
 
-def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, fields: int = 4) -> DataFrame:
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; equal texts share one array."""
+    seen: dict[bytes, np.ndarray] = {}
+    for t in texts:
+        if t not in seen:
+            seen[t] = np.unique(np.array(shingle_hashes(t, words), np.uint64))
+    return [seen[t] for t in texts]
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BANDS) keys, each of ROWS min-hashes; for sets that aren't empty."""
+    out, at = np.zeros((len(sets), BANDS), np.uint64), 0
+    while at < len(sets):
+        upto, total = at, 0
+        while upto < len(sets) and (upto == at or total + len(sets[upto]) <= BLOCK // 8):
+            total += len(sets[upto])
+            upto += 1
+        h = np.concatenate(sets[at:upto])
+        starts = np.cumsum([0, *(len(s) for s in sets[at : upto - 1])])
+        for k in range(BANDS):
+            key = np.full(upto - at, k + 1, np.uint64)
+            for r in range(ROWS):
+                least = np.minimum.reduceat((h ^ MIXERS[k, r, 0]) * MIXERS[k, r, 1], starts)
+                key = (key ^ least) * np.uint64(0xE7037ED1A0B428DB)
+                key ^= key >> np.uint64(32)
+            out[at:upto, k] = key
+        at = upto
+    return out
+
+
+def jaccard_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Links, by place in the list, of a forest that joins the sets of a Jaccard similarity of at least so much; with
+    `side`, only of those across sides. Each set, once reached, is counted against those not reached yet."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    order = np.argsort(ids, kind="stable")
+    term, post = ids[order], np.repeat(np.arange(n), sizes)[order]
+    terms = np.arange(ids.max(initial=-1) + 2)
+    first, built, left = np.searchsorted(term, terms), n, n
+    open_, links = np.ones(n, bool), []
+    for seed in range(n):
+        if not open_[seed]:
+            continue
+        open_[seed], left, stack = False, left - 1, [seed]
+        while stack and left:
+            if 2 * left < built:
+                kept = open_[post]
+                term, post = term[kept], post[kept]
+                first, built = np.searchsorted(term, terms), left
+            k = stack.pop()
+            own = ids[begin[k] : begin[k + 1]]
+            runs = first[own + 1] - first[own]
+            met = post[np.repeat(first[own] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())]
+            both = np.bincount(met, minlength=n)
+            near = open_ & (both > 0) & (both >= similarity * (sizes + sizes[k] - both) - 1e-9)
+            if side is not None:
+                near &= side != side[k]
+            near = np.flatnonzero(near)
+            open_[near] = False
+            left -= len(near)
+            links += [(k, j) for j in near.tolist()]
+            stack += near.tolist()
+    return links
+
+
+def _verified(words: int, similarity: float):
+    """Texts sorted by (root, i, j), the pair of chunks i, j of a candidate group together, to links."""
+    def links_of(held: dict[int, tuple[int, np.ndarray]], across: bool) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        nodes, chunks = list(held), np.array([c for c, _ in held.values()])
+        return [(nodes[a], nodes[b]) for a, b in jaccard_links([s for _, s in held.values()], chunks if across else None, similarity)]
+
+    def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return _pairs(found[:, 0], found[:, 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            body, ends = common.utf8(batch["text"])
+            raw, ends, links = body.tobytes(), ends.tolist(), []
+            keys = zip(*(batch[c].to_pylist() for c in ("root", "i", "j")), strict=True)
+            for k, (key, node, chunk) in enumerate(zip(keys, batch["node"].to_pylist(), batch["chunk"].to_pylist(), strict=True)):
+                if key != now:
+                    links += links_of(held, bool(now) and now[1] != now[2])
+                    now, held = key, {}
+                if node not in held:
+                    held[node] = chunk, shingle_sets([raw[ends[k] : ends[k + 1]]], words)[0]
+            yield batch_of(links)
+        yield batch_of(links_of(held, bool(now) and now[1] != now[2]))
+
+    return run
+
+
+def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = SHINGLES) -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays (then the smallest text hash).
 
-    Two texts are near copies if the SimHashes of their `words`-word shingles agree in `similarity` of their bits. That
-    is more bits than the index can promise to bring together, so the index is over SimHashes of the texts' word sets,
-    which an edit moves far less, by `fields` hash functions: a pair is met if one of them differs in at most BITS
-    bits. Texts without words form one group; a row without an id is the last of its group.
+    Two texts are near copies if their sets of `words`-word shingles have a Jaccard similarity of `similarity` or more,
+    counted over the whole sets. What is counted are the texts of a candidate group: those joined by a common key of
+    min-hashes. Two texts of similarity s have none in common with probability (1 - s**ROWS)**BANDS: at 0.8, 5e-8.
+    Candidate groups of over `chunk` shingles are dealt out as pairs of chunks. Texts without words form one group; a
+    row without an id is the last of its group.
     """
     scratch, names = common.Scratch(docs.sparkSession), docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
@@ -323,17 +423,33 @@ def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, fie
         for batch in batches:
             body, ends = common.utf8(batch["text"])
             raw, ends = body.tobytes(), ends.tolist()
-            texts = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            fps = word_fingerprints(texts, fields)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * fields, pa.int32()), pa.array(fps.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], lists, pa.array(fingerprints_of(texts, words).view(np.int64))], names=["doc_id", "th", "fps", "check"])
-
-    signs = rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).mapInArrow(run, f"doc_id {kind}, th long, fps array<long>, check long")
+            sets = shingle_sets([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], words)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+            keys = band_keys([s for s in sets if len(s)])
+            at = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0))))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(node.view(np.int64)), pa.array(sizes), lists], names=["doc_id", "th", "node", "size", "keys"])
+
+    signs = rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).mapInArrow(run, f"doc_id {kind}, th long, node long, size long, keys array<long>")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    signs = scratch.table("signs", signs.withColumn("node", F.xxhash64("fps", "check")))
-    nodes = scratch.table("nodes", signs.groupBy("node").agg(F.first("fps").alias("fps"), F.first("check").alias("check"), F.min(order).alias("least")))
-    links = links_between(nodes.select("node", "fps", "check"), scratch, int(64 * (1 - similarity) + 1e-9))
-    roots = scratch.table("roots", components(links, scratch))
+    signs = scratch.table("signs", signs)
+    nodes = scratch.table("nodes", signs.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.min(order).alias("least")))
+    posts = nodes.select("node", F.explode("keys").alias("key"))
+    heads = scratch.table("heads", posts.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "u"))
+    groups = scratch.table("groups", components(posts.join(heads, "key").select("u", F.col("node").alias("v")), scratch))
+    # a component's least node is its root and has no row of its own
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct()
+    members = scratch.table("members", nodes.select("node", "size", "least").join(groups, "node"))
+    parts = members.groupBy("root").agg(F.ceil(F.sum("size") / chunk).alias("parts"))
+    dealt = members.join(parts, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = dealt.select(F.col("least.doc_id").alias("at_id"), F.col("least.th").alias("at_th"), "root", "node", "chunk", "parts")
+    dealt = rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).join(dealt, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "text")
+    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verified(words, similarity), "u long, v long")
+    exact = common.Scratch(docs.sparkSession)
+    roots = exact.table("roots", components(links, exact))
     named = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = scratch.table("kept", named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.th").alias("kept_th")))
     out = rows.join(kept, doc_id.eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")
