@@ -17,11 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .license_texts import TEXTS
+from .license_texts import DIGESTS, TEXTS
 
 # How spellings and marks count as equal, after lower-casing, in this order.
-RULES: tuple[tuple[str, str], ...] = (
-    (r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$", ""),
+SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"https", "http"),
     (r"licence", "license"),
     (r"sub-license", "sublicense"),
@@ -32,6 +31,13 @@ RULES: tuple[tuple[str, str], ...] = (
     (r"©", "(c)"),
     (r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " "),
 )
+#: A line is a notice if a sign, a year or a placeholder follows; body text may be wrapped before 'copyright' or '(c)'.
+DATED = r"(\d{4}|[<\[{])"
+NOTICE = rf"(?m)^[ \t/*#;-]*(copyright[ \t:,]*(\(c\)|©|{DATED})|(\(c\)|©)[ \t]*{DATED})[^\n]*$"
+#: Two words count as a spelling across a line break, too.
+RULES = ((NOTICE, ""), *((re.sub(r"(?<=[a-z]) (?=[a-z])", lambda _: r"[ \t\n/*#;-]+", a), b) for a, b in SPELLINGS))
+#: The registered SQL's rules: any line that starts with one of the words goes.
+SQL_RULES = ((r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$", ""), *SPELLINGS)
 SPACE, LINE_EDGE = r"[ \n]+", r" *\n *"
 
 
@@ -53,7 +59,7 @@ def digest_of(text: str) -> str:
 
 def known() -> dict[str, str]:
     """Digest to licence."""
-    return {digest_of(text): name for name, text in TEXTS}
+    return {digest_of(text): name for name, text in TEXTS} | {digest: name for name, digest in DIGESTS}
 
 
 def normalised(text: Column) -> Column:
@@ -90,10 +96,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     text = "lower(coalesce(text, ''))"
-    for pattern, by in RULES:
+    for pattern, by in SQL_RULES:
         text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
     line = lambda x: f"trim(regexp_replace({x}, '{SPACE}', ' ', 'g'))"
-    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known().items()))
+    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted((digest_of(text), name) for name, text in TEXTS))
     return f"""WITH k AS (SELECT * FROM (VALUES {values}) v(digest, license)),
 d AS (SELECT row_number() OVER () AS r, doc_id, {text} AS x FROM documents),
 l AS (SELECT r, sha256({line('line')}) AS digest FROM (SELECT r, unnest(string_split(x, chr(10))) AS line FROM d)),
