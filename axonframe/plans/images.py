@@ -179,7 +179,7 @@ def _(spark, d):
     return H.gaussian_smooth(V.pixels(spark, d), 2.0)
 
 
-@query("H18_median", "frame, row, col", "v", """SELECT frame, row, col, median(coalesce(v, 0)) AS v FROM (SELECT f.frame, a.row, b.col, pix.v FROM (SELECT DISTINCT frame FROM pix WHERE frame < 60) f, (SELECT unnest(range(1, 9)) AS row) a, (SELECT unnest(range(1, 9)) AS col) b,
+@query("H18_median", "frame, row, col", "v", """SELECT frame, row, col, median(coalesce(v, 0)) AS v FROM (SELECT f.frame, a.row, b.col, pix.v FROM (SELECT DISTINCT frame FROM pix) f, (SELECT unnest(range(1, 9)) AS row) a, (SELECT unnest(range(1, 9)) AS col) b,
   (VALUES (-1), (0), (1)) x(dr), (VALUES (-1), (0), (1)) y(dc) LEFT JOIN pix ON pix.frame = f.frame AND pix.row = a.row + dr AND pix.col = b.col + dc) GROUP BY 1, 2, 3""")
 def _(spark, d):
     return H.median_smooth(V.pixels(spark, d))
@@ -190,7 +190,14 @@ def _(spark, d):
     return H.normalised(V.pixels(spark, d), "minmax")
 
 
-@query("H20_percentile", "frame, row, col", "v", f"SELECT frame, row, col, least(greatest((v - a) / (b - a + {EPS}), 0), 1) AS v FROM (SELECT frame, row, col, v, 1 AS one FROM pix) JOIN ({HAZEN.format(keys='one', value='v', q=1, src='(SELECT v, 1 AS one FROM pix)', out='a')}) USING (one) JOIN ({HAZEN.format(keys='one', value='v', q=99, src='(SELECT v, 1 AS one FROM pix)', out='b')}) USING (one)")
+#: Both bounds in one pass over counted values: the ranks of a value are (k - c, k].
+BOUNDS = """cnt AS MATERIALIZED (SELECT v, count(*) AS c FROM pix GROUP BY v), run AS MATERIALIZED (SELECT v, c, (sum(c) OVER (ORDER BY v))::BIGINT AS k, (sum(c) OVER ())::BIGINT AS n FROM cnt),
+rnk AS (SELECT *, least(greatest(n * 0.01::DOUBLE + 0.5, 1), n) AS p, least(greatest(n * 0.99::DOUBLE + 0.5, 1), n) AS q FROM run),
+bnd AS MATERIALIZED (SELECT min(v) FILTER (k >= floor(p)) + (min(v) FILTER (k >= ceil(p)) - min(v) FILTER (k >= floor(p))) * (max(p) - floor(max(p))) AS a,
+  min(v) FILTER (k >= floor(q)) + (min(v) FILTER (k >= ceil(q)) - min(v) FILTER (k >= floor(q))) * (max(q) - floor(max(q))) AS b FROM rnk)"""
+
+
+@query("H20_percentile", "frame, row, col", "v", f"SELECT frame, row, col, least(greatest((v - a) / (b - a + {EPS}), 0), 1) AS v FROM pix CROSS JOIN bnd", BOUNDS)
 def _(spark, d):
     return H.normalised(V.pixels(spark, d), "percentile")
 

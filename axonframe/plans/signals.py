@@ -86,7 +86,7 @@ def _(spark, d):
     return spark.createDataFrame(cases, "name string, ok boolean")
 
 
-@query("A03_channel_slice", "channel, i", "y", "SELECT no AS channel, i, y FROM sig JOIN idx USING (channel) WHERE no <= 25")
+@query("A03_channel_slice", "channel, i", "y", "SELECT no AS channel, i, y FROM sig JOIN idx USING (channel)")
 def _(spark, d):
     return R.channel_slice(*V.export_block(spark, d))
 
@@ -488,11 +488,13 @@ def _(spark, d):
     return D.channel_mean(V.signal(spark, d))
 
 
-DEPTHS = "dep AS (SELECT d.depth, s.channel, s.i, s.y FROM sig s JOIN (VALUES (5::BIGINT, 1::BIGINT), (3, 2), (9, 3), (2, 4), (7, 5)) d(channel, depth) USING (channel) WHERE i <= 40)"
+DEPTHS = "dep AS (SELECT d.depth, s.channel, s.i, s.y FROM sig s JOIN (VALUES (5::BIGINT, 1::BIGINT), (3, 2), (9, 3), (2, 4), (7, 5)) d(channel, depth) USING (channel))"
 
 
-@query("E06_csd", "depth, i", "y", """SELECT depth, i, coalesce(c, CASE WHEN depth = 1 THEN lead(c) OVER w ELSE lag(c) OVER w END) AS y FROM
-  (SELECT depth, i, -(lead(y) OVER w - 2 * y + lag(y) OVER w) / (0.5::DOUBLE * 0.5::DOUBLE) AS c FROM dep WINDOW w AS (PARTITION BY i ORDER BY depth)) WINDOW w AS (PARTITION BY i ORDER BY depth)""", DEPTHS)
+@query("E06_csd", "depth, i", "y", """SELECT depth, i, CASE WHEN depth = 1 AND up THEN lead(c) OVER w WHEN depth = 5 AND down THEN lag(c) OVER w ELSE c END AS y FROM
+  (SELECT depth, i, up, down, CASE WHEN up AND down THEN -(above - 2 * y + below) / (0.5::DOUBLE * 0.5::DOUBLE) END AS c FROM
+    (SELECT depth, i, y, lag(y) OVER w AS below, lead(y) OVER w AS above, coalesce(lag(depth) OVER w = depth - 1, false) AS down, coalesce(lead(depth) OVER w = depth + 1, false) AS up FROM dep WINDOW w AS (PARTITION BY i ORDER BY depth)))
+  WINDOW w AS (PARTITION BY i ORDER BY depth)""", DEPTHS)
 def _(spark, d):
     rows = D.ordered_channels(V.signal(spark, d), (5, 3, 9, 2, 7))
     return D.current_source_density(rows, 500_000.0, 5)
