@@ -5,13 +5,14 @@
 2. Equal segments become one with a count. What is left is dealt out by anchor, and each task sorts its segments'
    suffixes by the difference-cover algorithm: sort the triples at places 1 and 2 modulo 3, recurse on their names,
    merge the suffixes at places 0 modulo 3. Suffixes that stand next to each other are compared on their first bytes.
+   Where one anchor has more bytes than a task should sort, its segments are cut again by the least of another hash in
+   the window, and those groups are dealt out and sorted in the same way; windows that are equal stay together.
 3. Repeated windows go back to the segments' places, and from there to byte spans of each document.
 
-An anchor with more distinct segments than one task should sort has its windows counted by a 128-bit hash instead, as
-rows of an aggregation. Everything else is linear in the text.
-
 Defined cases: null and short texts lose nothing; of equal texts of `length` bytes or more nothing is left in any;
-rows that repeat an id are told apart by their texts; an empty table has no rows.
+rows that repeat an id are told apart by their texts; an empty table has no rows. Long texts are cut into pieces of
+BLOCK bytes that overlap by a window, and places of a segment that follow each other at one distance are one range, so
+a text of one letter has few. Other columns aren't read, whatever their names; dedup(keep=...) carries those named.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM = 200, 64
-#: Distinct segments of one anchor that one task sorts; bytes sorted at once.
-MOST_SEGMENTS, SORT_BYTES, BLOCK = 3000, 1 << 19, 1 << 18
+#: Bytes of one group's segments that are dealt out together; bytes sorted at once; bytes of a text looked at at once.
+GROUP_BYTES, SORT_BYTES, BLOCK = 1 << 18, 1 << 19, 1 << 18
+#: Further cuts of a group that stays too large; one that still does is sorted in one task.
+LEVELS = 6
 RUNS = "array<struct<low: long, high: long>>"
+PLACES = "array<struct<first: long, step: long, times: long>>"
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 34) - 1)
 
@@ -48,15 +52,19 @@ def gram_hashes(body: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def segments(body: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def segments(body: np.ndarray, ends: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, ...]:
     """(text, anchor, start, stop) of the segments of texts body[ends[i]:ends[i + 1]]; start and stop are in body.
 
-    Of equal least hashes (by 30 bits) the leftmost is the anchor, so it depends on the window's bytes alone.
+    Of equal least hashes (by 30 bits) the leftmost is the anchor, so it depends on the window's bytes alone. Levels
+    order the grams by different hashes.
     """
     none = np.zeros(0, np.int64)
     if len(body) < length:
         return none, np.zeros(0, np.uint64), none, none
     h = gram_hashes(body)
+    if level:
+        h = (h ^ np.uint64(_BASE * level % (1 << 64))) * _SPREAD
+        h ^= h >> np.uint64(32)
     key, wide, reach = h & ~_PLACE | np.arange(len(h), dtype=np.uint64), length - GRAM + 1, 1
     while 2 * reach <= wide:
         key = np.minimum(key[:-reach], key[reach:])
@@ -75,6 +83,44 @@ def segments(body: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     return text[window[first]], h[anchor[first]], window[first], window[last] + length
 
 
+def pieces(body: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(i, j, base, bytes, ends): texts i to j - 1 together, or a piece from `base` on of one long text. Pieces overlap
+    by length - 1 bytes, so each window lies in one."""
+    for i, j in common.blocks(ends, BLOCK):
+        if j - i > 1 or ends[j] - ends[i] <= 2 * BLOCK:
+            yield i, j, 0, body[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+            continue
+        for at in range(0, int(ends[j] - ends[i]) - length + 1, BLOCK):
+            part = body[ends[i] + at : min(ends[i] + at + BLOCK + length - 1, ends[j])]
+            yield i, j, at, part, np.array([0, len(part)])
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """The places in sorted columns where a row differs from the one before."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    differ = columns[0][1:] != columns[0][:-1]
+    for c in columns[1:]:
+        differ = differ | (c[1:] != c[:-1])
+    return np.flatnonzero(np.concatenate(([True], differ)))
+
+
+def ranges(group: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, first, step, times): the starts, sorted in each of the sorted groups. Three or more at one distance are
+    one range; a start may belong to two."""
+    gap = np.where(group[1:] == group[:-1], np.diff(start), -1)
+    run = _new(gap)
+    edges = np.diff(np.append(run, len(gap)))
+    keep = (edges > 1) & (gap[run] > 0)
+    run, edges = run[keep], edges[keep]
+    cover = np.bincount(run, minlength=len(start) + 1) - np.bincount(run + edges + 1, minlength=len(start) + 1)
+    alone = np.flatnonzero(np.cumsum(cover)[: len(start)] == 0)
+    own = np.concatenate((group[run], group[alone]))
+    order = np.argsort(own, kind="stable")
+    one = np.ones(len(alone), np.int64)
+    return own[order], np.concatenate((start[run], start[alone]))[order], np.concatenate((gap[run], one))[order], np.concatenate((edges + 1, one))[order]
+
+
 def _keys(raw: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     digest, view = xxhash.xxh3_64_intdigest, memoryview(raw)
     return np.fromiter((digest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
@@ -170,67 +216,100 @@ def _anchored(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, ends = common.utf8(batch["text"])
-            for i, j in common.blocks(ends, BLOCK):
-                part = body[ends[i] : ends[j]]
-                text, anchor, start, stop = segments(part, ends[i : j + 1] - ends[i], length)
-                seg = _keys(part.tobytes(), start, stop)
-                order = np.lexsort((seg, anchor, text))
-                text, anchor, seg = text[order], anchor[order], seg[order]
-                new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])))) if len(text) else np.zeros(0, np.int64)
-                times = np.minimum(np.diff(np.append(new, len(text))), 2).astype(np.int8)
-                counts = np.bincount(text[new], minlength=j - i) if len(new) else np.zeros(j - i, np.int64)
+            held: list[list[np.ndarray]] = []
+            for i, j, at, part, own in pieces(body, ends, length):
+                text, anchor, start, stop = segments(part, own, length)
+                held.append([text, anchor, _keys(part.tobytes(), start, stop), np.ones(len(text), np.int64)])
+                if at + len(part) < ends[j] - ends[i] and j - i == 1:
+                    if len(held) > 16:  # of a long text only what is distinct stays
+                        held = [_counted(held)]
+                    continue
+                text, anchor, seg, times = _counted(held)
+                held = []
+                counts = np.bincount(text, minlength=j - i)
                 yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].slice(i, j - i), batch["th"].slice(i, j - i), _lists(_signed(anchor[new]), counts), _lists(_signed(seg[new]), counts), _lists(pa.array(times), counts),
+                    batch["doc_id"].slice(i, j - i), batch["th"].slice(i, j - i), _lists(_signed(anchor), counts), _lists(_signed(seg), counts), _lists(pa.array(times.astype(np.int8)), counts),
                 ], names=["doc_id", "th", "a", "s", "times"])
 
     return run
 
 
+def _counted(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Distinct (text, anchor, segment) in order, with how often they occur, up to 2."""
+    text, anchor, seg, times = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((seg, anchor, text))
+    text, anchor, seg, times = text[order], anchor[order], seg[order], times[order]
+    new = _new(text, anchor, seg)
+    return [text[new], anchor[new], seg[new], np.minimum(np.add.reduceat(times, new), 2) if len(new) else times]
+
+
 def _placed(length: int):
-    """Rows (doc_id, th, a, s, starts, bytes, content) of the segments whose anchors occur again. Content, of anchors
-    with more than one distinct segment, stands in the first row of a segment in a batch."""
-    names = ["doc_id", "th", "a", "s", "starts", "bytes", "content"]
+    """Rows (doc_id, th, a, s, n, starts, bytes, content) of the segments whose anchors occur again, n times in a piece
+    of a text. Content, of anchors with more than one distinct segment, stands in the first row of a segment in a batch."""
+    names = ["doc_id", "th", "a", "s", "n", "starts", "bytes", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, ends = common.utf8(batch["text"])
             seen: set[tuple[int, int]] = set()
-            for i, j in common.blocks(ends, BLOCK):
-                part = body[ends[i] : ends[j]]
-                raw, base = part.tobytes(), ends[i:j] - ends[i]
-                text, anchor, start, stop = segments(part, ends[i : j + 1] - ends[i], length)
+            for i, j, at, part, own in pieces(body, ends, length):
+                raw, base = part.tobytes(), own[:-1]
+                text, anchor, start, stop = segments(part, own, length)
                 cuts = np.searchsorted(text, np.arange(j - i + 1))
                 keep, many = np.zeros(len(text), bool), np.zeros(len(text), bool)
                 for k in range(j - i):
                     if cuts[k] < cuts[k + 1]:
                         again, multi = (np.array(batch[c][i + k].as_py(), t) for c, t in (("again", np.int64), ("multi", bool)))
-                        here, own = anchor[cuts[k] : cuts[k + 1]].view(np.int64), np.argsort(again)
-                        at = np.minimum(np.searchsorted(again[own], here), len(again) - 1)
-                        keep[cuts[k] : cuts[k + 1]] = again[own][at] == here
-                        many[cuts[k] : cuts[k + 1]] = multi[own][at]
+                        here, order = anchor[cuts[k] : cuts[k + 1]].view(np.int64), np.argsort(again)
+                        found = np.minimum(np.searchsorted(again[order], here), len(again) - 1)
+                        keep[cuts[k] : cuts[k + 1]] = again[order][found] == here
+                        many[cuts[k] : cuts[k + 1]] = multi[order][found]
                 text, anchor, start, stop, many = (x[keep] for x in (text, anchor, start, stop, many))
                 seg = _keys(raw, start, stop)
                 order = np.lexsort((start, seg, anchor, text))
                 text, anchor, start, stop, many, seg = (x[order] for x in (text, anchor, start, stop, many, seg))
                 if not len(text):
                     continue
-                new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1]))))
+                new = _new(text, anchor, seg)
                 content = []
                 for k in new.tolist():
                     key = (int(anchor[k]), int(seg[k]))
                     content.append(raw[start[k] : stop[k]] if many[k] and key not in seen else None)
                     seen.add(key)
+                times = np.diff(np.append(new, len(text)))
+                group, first, step, count = ranges(np.repeat(np.arange(len(new)), times), start - base[text] + at)
+                places = pa.StructArray.from_arrays([pa.array(first), pa.array(step), pa.array(count)], ["first", "step", "times"])
                 row = pa.array(text[new] + i)
                 yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].take(row), batch["th"].take(row), _signed(anchor[new]), _signed(seg[new]),
-                    _lists(pa.array(start - base[text]), np.diff(np.append(new, len(text)))), pa.array((stop - start)[new]), pa.array(content, pa.binary()),
+                    batch["doc_id"].take(row), batch["th"].take(row), _signed(anchor[new]), _signed(seg[new]), pa.array(times),
+                    _lists(places, np.bincount(group, minlength=len(new))), pa.array((stop - start)[new]), pa.array(content, pa.binary()),
                 ], names=names)
 
     return run
 
 
+def _recut(length: int, level: int):
+    """Segments (a, s, content) to smaller ones (b, c, a, s, start, bytes, content) by the level's anchors."""
+    names = ["b", "c", "a", "s", "start", "bytes", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, ends = common.utf8(batch["content"])
+            for i, j in common.blocks(ends, BLOCK):
+                part, own = body[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+                raw = part.tobytes()
+                text, anchor, start, stop = segments(part, own, length, level)
+                seg, row = _keys(raw, start, stop), pa.array(text + i)
+                content = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+                # the group it was in stays part of the new one's name
+                mixed = (anchor ^ batch["b"].take(row).to_numpy().view(np.uint64)) * _SPREAD
+                yield pa.RecordBatch.from_arrays([_signed(mixed), _signed(seg), batch["a"].take(row), batch["s"].take(row), pa.array(start - own[text]), pa.array(stop - start), pa.array(content, pa.binary())], names=names)
+
+    return run
+
+
 def _sorted_here(length: int):
-    """Segments in the order of their anchors to (a, s, runs): bytes of windows that start in another segment too."""
+    """Segments in the order of their groups to (b, c, runs): bytes of windows that start in another segment too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
 
@@ -239,11 +318,11 @@ def _sorted_here(length: int):
             hit, first = np.unique(part, return_index=True)
             counts = np.diff(np.append(first, len(part)))
             ranges = pa.StructArray.from_arrays([pa.array(low), pa.array(high)], ["low", "high"])
-            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in hit], pa.int64()), pa.array([rows[k][1] for k in hit], pa.int64()), _lists(ranges, counts)], names=["a", "s", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in hit], pa.int64()), pa.array([rows[k][1] for k in hit], pa.int64()), _lists(ranges, counts)], names=["b", "c", "runs"])
 
         size = 0
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("a", "s", "content")), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in ("b", "c", "content")), strict=True):
                 if size >= SORT_BYTES and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
@@ -255,19 +334,17 @@ def _sorted_here(length: int):
     return run
 
 
-def _hashed_windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, s, content in zip(*(batch[c].to_pylist() for c in ("a", "s", "content")), strict=True):
-                n = len(content) - length + 1
-                digests = [xxhash.xxh3_128_digest(content[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.int64()), pa.array(range(n), pa.int64())], names=["w", "a", "s", "hit"])
-
-    return run
-
-
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+def spans(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, low, high): ranges of each text, those that touch or overlap as one, in order."""
+    order = np.lexsort((low, text))
+    text, low, high = text[order], low[order], high[order]
+    if not len(text):
+        return text, low, high
+    shift = text * (int(high.max()) + 2)  # apart, so a text's ends don't reach the next one's
+    reach = np.maximum.accumulate(high + shift)
+    first = np.flatnonzero(np.concatenate(([True], low[1:] + shift[1:] > reach[:-1])))
+    last = np.append(first[1:], len(text)) - 1
+    return text[first], low[first], reach[last] - shift[last]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
@@ -276,31 +353,61 @@ def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[p
         body, ends = common.utf8(batch["text"])
         found = batch["found"].fill_null([]) if batch["found"].null_count else batch["found"]
         low, high = (found.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        cuts = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(found).to_numpy(zero_copy_only=False)))).astype(np.int64)
-        kept, sizes, removed, spans, counts = [], [], [], [[], []], []
-        for i, j in common.blocks(ends, BLOCK):
-            part, own = body[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
-            of = np.repeat(own[:-1], np.diff(cuts[i : j + 1]))
-            a, b = low[cuts[i] : cuts[j]] + of, high[cuts[i] : cuts[j]] + of
-            gone = np.cumsum(np.bincount(a, minlength=len(part) + 1) - np.bincount(b, minlength=len(part) + 1))[:-1] > 0
-            total = np.concatenate(([0], np.cumsum(gone)))[own]
-            removed.append(np.diff(total))
-            sizes.append(np.diff(own) - removed[-1])
-            kept.append(part[~gone])
-            edge = np.zeros(len(part) + 1, bool)
-            edge[own] = True  # a run ends with its text
-            before, after = np.concatenate(([False], gone)), np.concatenate((gone, [False]))
-            first, last = np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
-            text = np.searchsorted(own, first, side="right") - 1
-            spans[0].append(first - own[text])
-            spans[1].append(last - own[text])
-            counts.append(np.bincount(text, minlength=j - i))
-        offsets = np.concatenate(([0], np.cumsum(_joined(sizes)))).astype(np.int64)
-        left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(kept).tobytes() if kept else b"")]).cast(pa.binary())
-        if as_text:
-            left = pa.array([x.decode("utf-8", "ignore") for x in left.to_pylist()], pa.string())
-        pairs = pa.StructArray.from_arrays([pa.array(_joined(x)) for x in spans], ["start", "end"])
-        yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.diff(ends)), pa.array(_joined(removed)), _lists(pairs, _joined(counts)), left], names=["row", "n_bytes", "n_removed", "spans", "kept"])
+        text, low, high = spans(np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(found).to_numpy(zero_copy_only=False)), low, high)
+        raw, left = body.tobytes(), []
+        cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
+        lows, highs, at = (low + ends[:-1][text]).tolist(), (high + ends[:-1][text]).tolist(), ends.tolist()
+        for k in range(batch.num_rows):
+            edges = [at[k], *(x for c in range(cuts[k], cuts[k + 1]) for x in (lows[c], highs[c])), at[k + 1]]
+            left.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+        removed = np.zeros(batch.num_rows, np.int64)
+        np.add.at(removed, text, high - low)
+        kept = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
+        pairs = pa.StructArray.from_arrays([pa.array(low), pa.array(high)], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.diff(ends)), pa.array(removed), _lists(pairs, np.bincount(text, minlength=batch.num_rows)), kept], names=["row", "n_bytes", "n_removed", "spans", "kept"])
+
+
+def repeats(distinct: DataFrame, scratch: common.Scratch, length: int = LENGTH, group_bytes: int | None = None) -> DataFrame:
+    """(a, s, runs): of distinct segments (a, s, content) the bytes of windows that start in another segment of the
+    same anchor too. Anchors with more bytes than a group should have are cut again, level by level."""
+    most = group_bytes or GROUP_BYTES
+    rows = distinct.select(F.col("a").alias("b"), F.col("s").alias("c"), "content")
+    parents: DataFrame | None = None
+    out: list[DataFrame] = []
+
+    def sorted_(rows: DataFrame) -> DataFrame:
+        return rows.repartition("b").sortWithinPartitions("b", "c").mapInArrow(_sorted_here(length), f"b long, c long, runs {RUNS}")
+
+    def named(found: DataFrame, parents: DataFrame | None) -> DataFrame:
+        """Runs of groups' segments as runs of the first level's."""
+        if parents is None:
+            return found.select(F.col("b").alias("a"), F.col("c").alias("s"), "runs")
+        moved = F.transform("runs", lambda r: F.struct((r["low"] + F.col("start")).alias("low"), (r["high"] + F.col("start")).alias("high")))
+        return parents.join(found, ["b", "c"]).select("a", "s", moved.alias("runs"))
+
+    for level in range(1, LEVELS + 2):
+        large = scratch.table(f"large{level}", rows.groupBy("b").agg(F.sum(F.length("content")).alias("n")).where(F.col("n") > most).select("b")) if level <= LEVELS else None
+        if large is None or not large.head(1):
+            out.append(named(sorted_(rows), parents))
+            break
+        out.append(named(sorted_(rows.join(large, "b", "left_anti")), parents))
+        # one row a place of a smaller segment in one of the first level's
+        big = rows.join(large, "b", "left_semi").select("b", F.col("b").alias("a"), F.col("c").alias("s"), "content")
+        cut = scratch.table(f"cut{level}", big.mapInArrow(_recut(length, level), "b long, c long, a long, s long, start long, bytes long, content binary"))
+        places = cut.select("b", "c", "a", "s", "start")
+        if parents is not None:
+            above = parents.select(F.col("b").alias("a"), F.col("c").alias("s"), F.col("a").alias("a0"), F.col("s").alias("s0"), F.col("start").alias("start0"))
+            places = places.join(above, ["a", "s"]).select("b", "c", F.col("a0").alias("a"), F.col("s0").alias("s"), (F.col("start") + F.col("start0")).alias("start"))
+            places = scratch.table(f"places{level}", places)
+        # the same smaller segment at two places of different segments repeats as a whole
+        twice = cut.groupBy("b", "c").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes")).where(F.col("n") > 1)
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")))
+        out.append(named(twice.select("b", "c", whole.alias("runs")), places))
+        parents, rows = places, scratch.table(f"rows{level}", cut.select("b", "c", "content").dropDuplicates(["b", "c"]))
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -323,25 +430,17 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
 
     same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
     joined = long.join(found, same(long, found)).select(long["doc_id"], long["th"], "text", "again", "multi")
-    placed = scratch.table("placed", joined.mapInArrow(_placed(length), f"doc_id {kind}, th long, a long, s long, starts array<long>, bytes long, content binary"))
+    placed = scratch.table("placed", joined.mapInArrow(_placed(length), f"doc_id {kind}, th long, a long, s long, n long, starts {PLACES}, bytes long, content binary"))
 
     distinct = scratch.table("distinct", placed.where(F.col("content").isNotNull()).select("a", "s", "content").dropDuplicates(["a", "s"]))
-    large = scratch.table("large", distinct.groupBy("a").count().where(F.col("count") > MOST_SEGMENTS).select("a"))
-    small = distinct
-    parts = []
-    if large.head(1):
-        small = distinct.join(large, "a", "left_anti")
-        windows = scratch.table("windows", distinct.join(large, "a", "left_semi").mapInArrow(_hashed_windows(length), "w binary, a long, s long, hit long"))
-        twice = windows.groupBy("w").count().where(F.col("count") > 1).select("w")
-        parts.append(windows.join(twice, "w").groupBy("a", "s").agg(F.collect_list(F.struct(F.col("hit").alias("low"), (F.col("hit") + length).alias("high"))).alias("runs")))
-    parts.append(small.repartition("a").sortWithinPartitions("a", "s").mapInArrow(_sorted_here(length), f"a long, s long, runs {RUNS}"))
-    copied = placed.groupBy("a", "s").agg(F.sum(F.size("starts")).alias("n"), F.max("bytes").alias("bytes")).where(F.col("n") > 1)
-    parts.append(copied.select("a", "s", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high"))).alias("runs")))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    result = scratch.table("result", result)
-    shifted = F.flatten(F.transform("starts", lambda x: F.transform("runs", lambda r: F.struct((r["low"] + x).alias("low"), (r["high"] + x).alias("high")))))
+    copied = placed.groupBy("a", "s").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes")).where(F.col("n") > 1)
+    copied = copied.select("a", "s", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high"))).alias("runs"))
+    result = scratch.table("result", copied.unionByName(repeats(distinct, scratch, length)))
+    # a range's starts, moved by a run: one run again if they lie close enough
+    place = lambda x, r, k: F.struct((x["first"] + k * x["step"] + r["low"]).alias("low"), (x["first"] + k * x["step"] + r["high"]).alias("high"))
+    whole = lambda x, r: F.struct((x["first"] + r["low"]).alias("low"), (x["first"] + (x["times"] - 1) * x["step"] + r["high"]).alias("high"))
+    each = lambda x, r: F.transform(F.sequence(F.lit(0).cast("long"), x["times"] - 1), lambda k: place(x, r, k))
+    shifted = F.flatten(F.transform("starts", lambda x: F.flatten(F.transform("runs", lambda r: F.when(x["step"] <= r["high"] - r["low"], F.array(whole(x, r))).otherwise(each(x, r))))))
     cuts = placed.select("doc_id", "th", "a", "s", "starts").join(result, ["a", "s"]).select("doc_id", "th", shifted.alias("runs"))
     cuts = cuts.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("found"))
     cuts = scratch.table("cuts", cuts)

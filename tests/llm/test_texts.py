@@ -227,10 +227,24 @@ def planted(seed, n, length):
     return out
 
 
-@pytest.mark.parametrize(("most", "length"), [(3000, 80), (1, 80), (3000, 200)])
-def test_repeats_match_brute_force(spark, monkeypatch, most, length):
-    monkeypatch.setattr(suffixes, "MOST_SEGMENTS", most)
-    texts = planted(5, 40, length)
+def around_a_passage(length):
+    """Many texts that share one passage a little shorter than the window, between parts that differ or repeat in part;
+    texts of one letter, of two letters by turns, and of long repeated blocks."""
+    rng = np.random.default_rng(11)
+    word = lambda k: bytes(rng.integers(97, 123, k, dtype=np.uint8)).decode()
+    passage, ends = word(length - 12), [word(40) for _ in range(6)]
+    out = [word(30) + ends[int(rng.integers(6))][: int(rng.integers(41))] + passage + ends[int(rng.integers(6))][int(rng.integers(41)) :] + word(30) for _ in range(60)]
+    block = word(3 * length)
+    return [*out, "z" * 5000, "z" * 700, "ab" * 2500, "ab" * 300 + "a", block * 9, word(4000) + block + word(2000), word(6000)]
+
+
+@pytest.mark.parametrize(("kind", "group", "block", "length"), [(0, None, None, 80), (0, 1, None, 80), (0, None, 256, 80), (0, None, None, 200), (1, 2000, None, 100), (1, 2000, 300, 100), (1, None, 1 << 10, 200)])
+def test_repeats_match_brute_force(spark, monkeypatch, kind, group, block, length):
+    if group:
+        monkeypatch.setattr(suffixes, "GROUP_BYTES", group)
+    if block:
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+    texts = around_a_passage(length) if kind else planted(5, 40, length)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["row"]["f0"]: r for r in suffixes.dedup(df, length).collect()}
     raw = [(t or "").encode() for t in texts]
@@ -242,6 +256,21 @@ def test_repeats_match_brute_force(spark, monkeypatch, most, length):
         assert bytes(r["kept"]) == bytes(b for b, g in zip(raw[k], gone, strict=True) if not g)
 
 
+def test_ranges_hold_the_starts_and_no_other():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 50, 400):
+        group = np.sort(rng.integers(0, 5, n))
+        start = np.concatenate([np.cumsum(rng.choice([1, 1, 1, 2, 7], int(m))) for m in np.bincount(group, minlength=5)]).astype(np.int64)
+        got = {(g, f + k * s) for g, f, s, t in zip(*(x.tolist() for x in suffixes.ranges(group, start)), strict=True) for k in range(t)}
+        assert got == set(zip(group.tolist(), start.tolist(), strict=True))
+    assert [len(x) for x in suffixes.ranges(np.zeros(10_000, int), np.arange(10_000))] == [1] * 4
+
+
+def test_a_long_text_of_one_letter(spark):
+    rows = suffixes.dedup(spark.createDataFrame([(1, "m" * 6_000_000), (2, "n" * 150)], "doc_id long, text string")).collect()
+    assert {(r["row"]["f0"], r["n_bytes"], r["n_removed"], len(r["spans"])) for r in rows} == {(1, 6_000_000, 6_000_000, 1), (2, 150, 0, 0)}
+
+
 def test_repeats_query_matches_brute_force(spark, sf):
     got = {r["doc_id"]: r for r in registry.QUERIES["op4_suffixes"](spark, sf).collect()}
     docs = texts_of(common.documents(spark, sf))
