@@ -5,8 +5,9 @@
 2. Equal segments become one with a count. What is left is dealt out by anchor, and each task sorts its segments'
    suffixes by the difference-cover algorithm: sort the triples at places 1 and 2 modulo 3, recurse on their names,
    merge the suffixes at places 0 modulo 3. Suffixes that stand next to each other are compared on their first bytes.
-   Where one anchor has more bytes than a task should sort, its segments are cut again by the least of another hash in
-   the window, and those groups are dealt out and sorted in the same way; windows that are equal stay together.
+   Where one anchor has more bytes than a task should sort, its windows are halved by where in them the anchor stands,
+   and each half is dealt out by the bytes that all its windows have next to the anchor. Equal windows stay together;
+   after eight halvings a group is one window and its copies, so a group of any size comes apart.
 3. Repeated windows go back to the segments' places, and from there to byte spans of each document.
 
 Defined cases: null and short texts lose nothing; of equal texts of `length` bytes or more nothing is left in any;
@@ -30,13 +31,11 @@ from . import common
 
 LENGTH, GRAM = 200, 64
 #: Bytes of one group's segments that are dealt out together; bytes sorted at once; bytes of a text looked at at once.
-GROUP_BYTES, SORT_BYTES, BLOCK = 1 << 18, 1 << 19, 1 << 18
-#: Further cuts of a group that stays too large; one that still does is sorted in one task.
-LEVELS = 6
+GROUP_BYTES, SORT_BYTES, BLOCK = 1 << 19, 1 << 19, 1 << 18
 RUNS = "array<struct<low: long, high: long>>"
 PLACES = "array<struct<first: long, step: long, times: long>>"
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_PLACE = np.uint64((1 << 34) - 1)
+_PLACE, _WHOLE = np.uint64((1 << 34) - 1), (1 << 64) - 1
 
 
 def gram_hashes(body: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -52,19 +51,16 @@ def gram_hashes(body: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def segments(body: np.ndarray, ends: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, ...]:
-    """(text, anchor, start, stop) of the segments of texts body[ends[i]:ends[i + 1]]; start and stop are in body.
+def segments(body: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, anchor, start, stop, place) of the segments of texts body[ends[i]:ends[i + 1]]; start and stop are in body,
+    place is the anchor's from start on.
 
-    Of equal least hashes (by 30 bits) the leftmost is the anchor, so it depends on the window's bytes alone. Levels
-    order the grams by different hashes.
+    Of equal least hashes (by 30 bits) the leftmost is the anchor, so it depends on the window's bytes alone.
     """
     none = np.zeros(0, np.int64)
     if len(body) < length:
-        return none, np.zeros(0, np.uint64), none, none
+        return none, np.zeros(0, np.uint64), none, none, none
     h = gram_hashes(body)
-    if level:
-        h = (h ^ np.uint64(_BASE * level % (1 << 64))) * _SPREAD
-        h ^= h >> np.uint64(32)
     key, wide, reach = h & ~_PLACE | np.arange(len(h), dtype=np.uint64), length - GRAM + 1, 1
     while 2 * reach <= wide:
         key = np.minimum(key[:-reach], key[reach:])
@@ -75,12 +71,12 @@ def segments(body: np.ndarray, ends: np.ndarray, length: int = LENGTH, level: in
     text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(anchor)]
     window = np.flatnonzero(np.arange(len(anchor)) + length <= ends[1:][text])
     if not len(window):
-        return none, np.zeros(0, np.uint64), none, none
+        return none, np.zeros(0, np.uint64), none, none, none
     anchor = anchor[window]
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
-    return text[window[first]], h[anchor[first]], window[first], window[last] + length
+    return text[window[first]], h[anchor[first]], window[first], window[last] + length, anchor[first] - window[first]
 
 
 def pieces(body: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
@@ -169,6 +165,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 def repeated_runs(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, low, high): the byte runs of the strings that are covered by windows of `length` bytes which start
     anywhere else among the strings."""
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
     joined = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8)
     symbols = joined.astype(np.int64) + 2
     sizes = np.array([len(p) + 1 for p in parts])
@@ -218,7 +216,7 @@ def _anchored(length: int):
             body, ends = common.utf8(batch["text"])
             held: list[list[np.ndarray]] = []
             for i, j, at, part, own in pieces(body, ends, length):
-                text, anchor, start, stop = segments(part, own, length)
+                text, anchor, start, stop, _ = segments(part, own, length)
                 held.append([text, anchor, _keys(part.tobytes(), start, stop), np.ones(len(text), np.int64)])
                 if at + len(part) < ends[j] - ends[i] and j - i == 1:
                     if len(held) > 16:  # of a long text only what is distinct stays
@@ -244,9 +242,9 @@ def _counted(held: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def _placed(length: int):
-    """Rows (doc_id, th, a, s, n, starts, bytes, content) of the segments whose anchors occur again, n times in a piece
+    """Rows (doc_id, th, a, s, n, starts, bytes, place, content) of the segments whose anchors occur again, n times in a piece
     of a text. Content, of anchors with more than one distinct segment, stands in the first row of a segment in a batch."""
-    names = ["doc_id", "th", "a", "s", "n", "starts", "bytes", "content"]
+    names = ["doc_id", "th", "a", "s", "n", "starts", "bytes", "place", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +252,7 @@ def _placed(length: int):
             seen: set[tuple[int, int]] = set()
             for i, j, at, part, own in pieces(body, ends, length):
                 raw, base = part.tobytes(), own[:-1]
-                text, anchor, start, stop = segments(part, own, length)
+                text, anchor, start, stop, place = segments(part, own, length)
                 cuts = np.searchsorted(text, np.arange(j - i + 1))
                 keep, many = np.zeros(len(text), bool), np.zeros(len(text), bool)
                 for k in range(j - i):
@@ -264,10 +262,10 @@ def _placed(length: int):
                         found = np.minimum(np.searchsorted(again[order], here), len(again) - 1)
                         keep[cuts[k] : cuts[k + 1]] = again[order][found] == here
                         many[cuts[k] : cuts[k + 1]] = multi[order][found]
-                text, anchor, start, stop, many = (x[keep] for x in (text, anchor, start, stop, many))
+                text, anchor, start, stop, place, many = (x[keep] for x in (text, anchor, start, stop, place, many))
                 seg = _keys(raw, start, stop)
                 order = np.lexsort((start, seg, anchor, text))
-                text, anchor, start, stop, many, seg = (x[order] for x in (text, anchor, start, stop, many, seg))
+                text, anchor, start, stop, place, many, seg = (x[order] for x in (text, anchor, start, stop, place, many, seg))
                 if not len(text):
                     continue
                 new = _new(text, anchor, seg)
@@ -282,28 +280,36 @@ def _placed(length: int):
                 row = pa.array(text[new] + i)
                 yield pa.RecordBatch.from_arrays([
                     batch["doc_id"].take(row), batch["th"].take(row), _signed(anchor[new]), _signed(seg[new]), pa.array(times),
-                    _lists(places, np.bincount(group, minlength=len(new))), pa.array((stop - start)[new]), pa.array(content, pa.binary()),
+                    _lists(places, np.bincount(group, minlength=len(new))), pa.array((stop - start)[new]), pa.array(place[new]), pa.array(content, pa.binary()),
                 ], names=names)
 
     return run
 
 
-def _recut(length: int, level: int):
-    """Segments (a, s, content) to smaller ones (b, c, a, s, start, bytes, content) by the level's anchors."""
-    names = ["b", "c", "a", "s", "start", "bytes", "content"]
+def _halved(length: int):
+    """Segments of large groups (b, c, place, low, high, content) to those of smaller groups (b, c, place, low, high,
+    content) and where they start in which (a, s), the b and c from before.
+
+    The anchor stands `low` to `high` bytes into a group's windows. Those where it stands in the first half of that have
+    at least so many bytes behind it, the others at least so many before it; these name the new group.
+    """
+    names = ["b", "c", "a", "s", "start", "place", "low", "high", "content"]
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, ends = common.utf8(batch["content"])
-            for i, j in common.blocks(ends, BLOCK):
-                part, own = body[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
-                raw = part.tobytes()
-                text, anchor, start, stop = segments(part, own, length, level)
-                seg, row = _keys(raw, start, stop), pa.array(text + i)
-                content = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-                # the group it was in stays part of the new one's name
-                mixed = (anchor ^ batch["b"].take(row).to_numpy().view(np.uint64)) * _SPREAD
-                yield pa.RecordBatch.from_arrays([_signed(mixed), _signed(seg), batch["a"].take(row), batch["s"].take(row), pa.array(start - own[text]), pa.array(stop - start), pa.array(content, pa.binary())], names=names)
+            out: list[tuple] = []
+            for b, c, place, low, high, content in zip(*(batch[n].to_pylist() for n in ("b", "c", "place", "low", "high", "content")), strict=True):
+                mid = (low + high) // 2
+                for first, last in ((low, mid), (mid + 1, high)):
+                    start, stop = max(0, place - last), min(len(content) - length, place - first)
+                    if first <= last and start <= stop:
+                        near = content[place : place + length - mid] if last == mid else content[place - mid - 1 : place + GRAM]
+                        part = content[start : stop + length]
+                        out.append((digest(near, b & _WHOLE) ^ (last == mid), digest(part), b, c, start, place - start, first, last, part))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            unsigned = [_signed(np.array(x, np.uint64)) for x in columns[:2]]
+            yield pa.RecordBatch.from_arrays([*unsigned, *(pa.array(x, pa.int64()) for x in columns[2:8]), pa.array(columns[8], pa.binary())], names=names)
 
     return run
 
@@ -314,6 +320,7 @@ def _sorted_here(length: int):
         held: list[tuple[int, int, bytes]] = []
 
         def flush(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            rows = [r for k, r in enumerate(rows) if r[0] in (rows[k - 1][0] if k else None, rows[k + 1][0] if k + 1 < len(rows) else None)]
             part, low, high = repeated_runs([r[2] for r in rows], length)
             hit, first = np.unique(part, return_index=True)
             counts = np.diff(np.append(first, len(part)))
@@ -367,43 +374,43 @@ def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.diff(ends)), pa.array(removed), _lists(pairs, np.bincount(text, minlength=batch.num_rows)), kept], names=["row", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def repeats(distinct: DataFrame, scratch: common.Scratch, length: int = LENGTH, group_bytes: int | None = None) -> DataFrame:
-    """(a, s, runs): of distinct segments (a, s, content) the bytes of windows that start in another segment of the
-    same anchor too. Anchors with more bytes than a group should have are cut again, level by level."""
-    most = group_bytes or GROUP_BYTES
-    rows = distinct.select(F.col("a").alias("b"), F.col("s").alias("c"), "content")
-    parents: DataFrame | None = None
+def repeats(distinct: DataFrame, scratch: common.Scratch, length: int = LENGTH) -> DataFrame:
+    """(a, s, runs): of distinct segments (a, s, place, content) the bytes of windows that start in another segment of the
+    same anchor too. Anchors with more bytes than a group should have are halved level by level."""
+    columns = ["b", "c", "place", "low", "high", "content"]
+    rows = distinct.select(F.col("a").alias("b"), F.col("s").alias("c"), "place", F.lit(0).cast("long").alias("low"), F.lit(length - GRAM).cast("long").alias("high"), "content")
+    places: DataFrame | None = None  # of the groups' segments in those given
     out: list[DataFrame] = []
 
     def sorted_(rows: DataFrame) -> DataFrame:
-        return rows.repartition("b").sortWithinPartitions("b", "c").mapInArrow(_sorted_here(length), f"b long, c long, runs {RUNS}")
+        return rows.select("b", "c", "content").repartition("b").sortWithinPartitions("b", "c").mapInArrow(_sorted_here(length), f"b long, c long, runs {RUNS}")
 
-    def named(found: DataFrame, parents: DataFrame | None) -> DataFrame:
-        """Runs of groups' segments as runs of the first level's."""
-        if parents is None:
+    def named(found: DataFrame, places: DataFrame | None) -> DataFrame:
+        if places is None:
             return found.select(F.col("b").alias("a"), F.col("c").alias("s"), "runs")
         moved = F.transform("runs", lambda r: F.struct((r["low"] + F.col("start")).alias("low"), (r["high"] + F.col("start")).alias("high")))
-        return parents.join(found, ["b", "c"]).select("a", "s", moved.alias("runs"))
-
-    for level in range(1, LEVELS + 2):
-        large = scratch.table(f"large{level}", rows.groupBy("b").agg(F.sum(F.length("content")).alias("n")).where(F.col("n") > most).select("b")) if level <= LEVELS else None
-        if large is None or not large.head(1):
-            out.append(named(sorted_(rows), parents))
+        return places.join(found, ["b", "c"]).select("a", "s", moved.alias("runs"))
+
+    for level in range((length - GRAM).bit_length() + 1):
+        # groups whose windows are all one have one segment and nothing to sort
+        sizes = rows.where(F.col("low") < F.col("high")).groupBy("b").agg(F.sum(F.length("content")).alias("n"))
+        large = scratch.table(f"large{level}", sizes.where(F.col("n") > GROUP_BYTES).select("b"))
+        if not large.head(1):
+            out.append(named(sorted_(rows), places))
             break
-        out.append(named(sorted_(rows.join(large, "b", "left_anti")), parents))
-        # one row a place of a smaller segment in one of the first level's
-        big = rows.join(large, "b", "left_semi").select("b", F.col("b").alias("a"), F.col("c").alias("s"), "content")
-        cut = scratch.table(f"cut{level}", big.mapInArrow(_recut(length, level), "b long, c long, a long, s long, start long, bytes long, content binary"))
-        places = cut.select("b", "c", "a", "s", "start")
-        if parents is not None:
-            above = parents.select(F.col("b").alias("a"), F.col("c").alias("s"), F.col("a").alias("a0"), F.col("s").alias("s0"), F.col("start").alias("start0"))
-            places = places.join(above, ["a", "s"]).select("b", "c", F.col("a0").alias("a"), F.col("s0").alias("s"), (F.col("start") + F.col("start0")).alias("start"))
-            places = scratch.table(f"places{level}", places)
-        # the same smaller segment at two places of different segments repeats as a whole
-        twice = cut.groupBy("b", "c").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes")).where(F.col("n") > 1)
+        out.append(named(sorted_(rows.join(large, "b", "left_anti")), places))
+        halves = f"{', '.join(n + ' long' for n in ('b', 'c', 'a', 's', 'start', 'place', 'low', 'high'))}, content binary"
+        cut = scratch.table(f"cut{level}", rows.join(large, "b", "left_semi").select(*columns).mapInArrow(_halved(length), halves))
+        here = cut.select("b", "c", "a", "s", "start")
+        if places is not None:
+            above = places.select(F.col("b").alias("a"), F.col("c").alias("s"), F.col("a").alias("a0"), F.col("s").alias("s0"), F.col("start").alias("start0"))
+            here = scratch.table(f"places{level}", here.join(above, ["a", "s"]).select("b", "c", F.col("a0").alias("a"), F.col("s0").alias("s"), (F.col("start") + F.col("start0")).alias("start")))
+        places = here
+        # the same half in two segments repeats as a whole
+        twice = cut.groupBy("b", "c").agg(F.count("*").alias("n"), F.max(F.length("content")).cast("long").alias("bytes")).where(F.col("n") > 1)
         whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")))
         out.append(named(twice.select("b", "c", whole.alias("runs")), places))
-        parents, rows = places, scratch.table(f"rows{level}", cut.select("b", "c", "content").dropDuplicates(["b", "c"]))
+        rows = scratch.table(f"rows{level}", cut.select(*columns).dropDuplicates(["b", "c"]))
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
@@ -430,9 +437,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
 
     same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
     joined = long.join(found, same(long, found)).select(long["doc_id"], long["th"], "text", "again", "multi")
-    placed = scratch.table("placed", joined.mapInArrow(_placed(length), f"doc_id {kind}, th long, a long, s long, n long, starts {PLACES}, bytes long, content binary"))
+    placed = scratch.table("placed", joined.mapInArrow(_placed(length), f"doc_id {kind}, th long, a long, s long, n long, starts {PLACES}, bytes long, place long, content binary"))
 
-    distinct = scratch.table("distinct", placed.where(F.col("content").isNotNull()).select("a", "s", "content").dropDuplicates(["a", "s"]))
+    distinct = scratch.table("distinct", placed.where(F.col("content").isNotNull()).select("a", "s", "place", "content").dropDuplicates(["a", "s"]))
     copied = placed.groupBy("a", "s").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes")).where(F.col("n") > 1)
     copied = copied.select("a", "s", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high"))).alias("runs"))
     result = scratch.table("result", copied.unionByName(repeats(distinct, scratch, length)))
