@@ -1,12 +1,16 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 4 bits have at least 4 of 8 bytes equal at their positions. The index
-posts each distinct fingerprint under sets of 3 positions and their bytes, by a design in which any 4 positions hold
-one of the sets, so every pair with 4 shared bytes meets. Pairs that meet are tallied (bytes shared), kept from 4 on
-and verified by their bits. Links become components by alternating large-star and small-star steps.
+Two 64-bit fingerprints that differ in at most 4 bits have at least 4 of 8 bytes equal at their positions. Single
+bytes are too common to meet by, so the index is dealt out by 3 positions and their bytes, in a design in which any 4
+positions hold one of these triples: a pair with 4 shared bytes meets where 3 of them are shared. There, each of the
+other positions has postings by byte; a fingerprint's postings are walked and tallied, only those with a tally of one
+or more, 4 shared bytes with the key's 3, are kept, and their bits are compared. Links become components by
+alternating large-star and small-star steps.
 
 Defined cases: null, empty and wordless texts have the fingerprint 0 and link like any other; texts under n words are
-one shingle; equal fingerprints are one node; a null doc_id is never the smallest, a group of them has a null id.
+one shingle; equal fingerprints, so equal texts and repeated rows, are one node; a null doc_id is never the smallest, a
+group of them has a null id; an empty table has no rows; texts are read whole, however long, in blocks of hashes; other
+columns aren't read, whatever their names (kept_of_groups carries them all).
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SHARED = 8 - BITS
 #: Postings of one key that one task compares at once; longer lists are dealt out as pairs of chunks.
 CHUNK = 4096
 BLOCK = 1 << 18
+#: Postings in a list up to which all pairs are tallied at once.
+FEW = 16
 #: Near copies: keys of a text, min-hashes of a key, and shingles of one task's chunk.
 BANDS, ROWS, SHINGLES = 32, 4, 1 << 21
 MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, ROWS, 2), np.uint64) | np.array([0, 1], np.uint64)
@@ -110,54 +116,58 @@ def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def posted(nodes: DataFrame) -> DataFrame:
-    """Postings of nodes (node, fps array<long>, check long): (key, fp, node, check), one for each fingerprint and
-    position triple; their numbers are in the key's upper bits."""
-    rows = nodes.select("node", "check", F.posexplode("fps").alias("k", "fp"))
+    """Postings (key, fp) of distinct fingerprints, one for each position triple, whose number is in the key's upper bits."""
     keys = []
     for k, (a, b, c) in enumerate(TRIPLES):
         byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255).cast("long")) for p in (a, b, c)]
-        keys.append((F.col("k") * len(TRIPLES) + k).cast("long") * (1 << 24) + byte[0] * 65536 + byte[1] * 256 + byte[2])
-    return rows.select(F.explode(F.array(*keys)).alias("key"), "fp", "node", "check")
+        keys.append(F.lit(k << 24).cast("long") + byte[0] * 65536 + byte[1] * 256 + byte[2])
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def tallied(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of the pairs share SHARED bytes by position and, verified, differ in at most BITS bits."""
     differ = x ^ y
-    shared = np.zeros(differ.shape, np.uint8)
-    for p in range(8):
-        shared += (differ >> np.uint64(8 * p) & np.uint64(255)) == 0
+    shared = (differ[:, None].view(np.uint8) == 0).sum(1)
     out = shared >= SHARED
     out[out] = np.bitwise_count(differ[out]) <= BITS
     return out
 
 
-def linked(x: tuple, y: tuple, check_bits: int) -> np.ndarray:
-    """tallied on (fp, node, check) columns, and the checks differ in at most check_bits bits."""
-    out = tallied(x[0], y[0])
-    out[out] = np.bitwise_count((x[2] ^ y[2])[out]) <= check_bits
-    return out
-
+def tree_links(fp: np.ndarray, triple: int, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a forest that joins what is linked in one key's list; with `side`, only what is linked across sides.
 
-def tree_links(rows: tuple, side: np.ndarray | None, check_bits: int) -> list[tuple[int, int]]:
-    """Links of a forest that joins what is linked among rows; with `side`, only what is linked across sides.
-
-    Each row, once reached, is compared with those not reached yet.
+    The list's fingerprints share the triple's bytes. Each one, once reached, walks the postings of its other bytes
+    among those not reached yet; what is met there at all has the least tally and is verified.
     """
-    fp, node, check = rows
-    open_, links = np.ones(len(fp), bool), []
-    for seed in range(len(fp)):
+    n, byte = len(fp), np.ascontiguousarray(fp)[:, None].view(np.uint8)
+    others = [p for p in range(8) if p not in TRIPLES[triple]]
+    open_, links, left, built = np.ones(n, bool), [], n, 0
+    lists: list[tuple[np.ndarray, np.ndarray]] = []
+    for seed in range(n):
         if not open_[seed]:
             continue
-        open_[seed] = False
-        stack = [seed]
-        while stack:
+        open_[seed], left, stack = False, left - 1, [seed]
+        while stack and left:
+            if not lists or 2 * left < built:  # postings of what is still open
+                rest = np.flatnonzero(open_)
+                lists, built = [], left
+                for p in others:
+                    order = rest[np.argsort(byte[rest, p], kind="stable")]
+                    lists.append((order, np.searchsorted(byte[order, p], np.arange(257))))
             k = stack.pop()
-            rest = np.flatnonzero(open_ if side is None else open_ & (side != side[k]))
-            near = rest[linked((fp[rest], None, check[rest]), (fp[k], None, check[k]), check_bits)]
+            own = byte[k].tolist()
+            met = np.concatenate([post[at[own[p]] : at[own[p] + 1]] for p, (post, at) in zip(others, lists, strict=True)])
+            tally = np.bincount(met, minlength=n)
+            near = np.flatnonzero((tally >= SHARED - len(TRIPLES[triple])) & open_)
+            if side is not None:
+                near = near[side[near] != side[k]]
+            near = near[np.bitwise_count(fp[near] ^ fp[k]) <= BITS]
             open_[near] = False
-            links += [(int(node[k]), int(node[j])) for j in near]
+            left -= len(near)
+            links += [(k, j) for j in near.tolist()]
             stack += near.tolist()
-    return links
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return fp[found[:, 0]].view(np.int64), fp[found[:, 1]].view(np.int64)
 
 
 def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -184,56 +194,47 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str], rest: list[str]) -
         yield held[0]
 
 
-def _linked(check_bits: int):
-    """Postings sorted by key to links. Lists of a few are compared by their distance in the list."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, node, check in _groups(batches, ["key"], ["fp", "node", "check"]):
-            fp, check = fp.view(np.uint64), check.view(np.uint64)
-            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.append(new, len(key)))
-            few = sizes <= 16
-            in_few, u, v = np.repeat(few, sizes), [], []
-            for d in range(1, min(16, len(key))):
-                k = np.flatnonzero(in_few[d:] & (key[d:] == key[:-d]))
-                k = k[linked((fp[k], None, check[k]), (fp[k + d], None, check[k + d]), check_bits)]
-                u.append(node[k])
-                v.append(node[k + d])
-            for a, n in zip(new[~few], sizes[~few], strict=True):
-                found = np.array(tree_links((fp[a : a + n], node[a : a + n], check[a : a + n]), None, check_bits), np.int64).reshape(-1, 2)
-                u.append(found[:, 0])
-                v.append(found[:, 1])
-            yield _pairs(np.concatenate(u) if u else np.zeros(0, np.int64), np.concatenate(v) if v else np.zeros(0, np.int64))
-
-    return run
-
-
-def _linked_chunks(check_bits: int):
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by key to links. All pairs of short lists are tallied by their distance in the list."""
+    for key, fp in _groups(batches, ["key"], ["fp"]):
+        fp = fp.view(np.uint64)
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(new, len(key)))
+        few = sizes <= FEW
+        in_few, u, v = np.repeat(few, sizes), [], []
+        for d in range(1, min(FEW, len(key))):
+            k = np.flatnonzero(in_few[d:] & (key[d:] == key[:-d]))
+            k = k[tallied(fp[k], fp[k + d])]
+            u.append(fp[k].view(np.int64))
+            v.append(fp[k + d].view(np.int64))
+        for a, n in zip(new[~few], sizes[~few], strict=True):
+            x, y = tree_links(fp[a : a + n], int(key[a] >> 24), None)
+            u.append(x)
+            v.append(y)
+        yield _pairs(np.concatenate(u) if u else np.zeros(0, np.int64), np.concatenate(v) if v else np.zeros(0, np.int64))
+
+
+def _linked_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Like _linked for long lists: rows sorted by (key, i, j), the pair of chunks i, j of a key together."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, i, j, chunk, fp, node, check in _groups(batches, ["key", "i", "j"], ["chunk", "fp", "node", "check"]):
-            fp, check = fp.view(np.uint64), check.view(np.uint64)
-            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-            for a, b in zip(new, np.append(new[1:], len(key)), strict=True):
-                side = None if i[a] == j[a] else chunk[a:b] == i[a]
-                found = np.array(tree_links((fp[a:b], node[a:b], check[a:b]), side, check_bits), np.int64).reshape(-1, 2)
-                yield _pairs(found[:, 0], found[:, 1])
+    for key, i, j, chunk, fp in _groups(batches, ["key", "i", "j"], ["chunk", "fp"]):
+        fp = fp.view(np.uint64)
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        for a, b in zip(new, np.append(new[1:], len(key)), strict=True):
+            yield _pairs(*tree_links(fp[a:b], int(key[a] >> 24), None if i[a] == j[a] else chunk[a:b] == i[a]))
 
-    return run
 
-
-def links_between(nodes: DataFrame, scratch: common.Scratch, check_bits: int = 64, chunk: int = CHUNK) -> DataFrame:
-    """(u, v) links among nodes (node, fps, check), enough to join all that are linked."""
-    posts = posted(nodes)
+def links_between(nodes: DataFrame, scratch: common.Scratch, chunk: int = CHUNK) -> DataFrame:
+    """(u, v) links among distinct fingerprints (fp), enough to join all that are linked."""
+    posts, kind = posted(nodes), "u long, v long"
     long = scratch.table("long", posts.groupBy("key").count().where(F.col("count") > chunk))
     if not long.head(1):
-        return posts.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(check_bits), "u long, v long")
+        return posts.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, kind)
     posts = posts.join(long, "key", "left")
-    short = posts.where(F.col("count").isNull()).select("key", "fp", "node", "check").repartition("key").sortWithinPartitions("key").mapInArrow(_linked(check_bits), "u long, v long")
-    dealt = posts.where(F.col("count").isNotNull()).withColumn("parts", F.ceil(F.col("count") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("node"), "parts"))
+    short = posts.where(F.col("count").isNull()).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_linked, kind)
+    dealt = posts.where(F.col("count").isNotNull()).withColumn("parts", F.ceil(F.col("count") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("fp"), "parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "node", "check")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked_chunks(check_bits), "u long, v long")
-    return short.unionByName(dealt)
+    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp")
+    return short.unionByName(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked_chunks, kind))
 
 
 def components(links: DataFrame, scratch: common.Scratch, most_rounds: int = 60) -> DataFrame:
@@ -275,39 +276,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, Dat
     scratch = common.Scratch(docs.sparkSession)
     found = scratch.table("fingerprints", fingerprinted(docs, words))
     nodes = scratch.table("nodes", found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = links_between(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), F.lit(0).cast("long").alias("check")), scratch)
+    links = links_between(nodes.select("fp"), scratch)
     roots = scratch.table("roots", components(links, scratch))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least_of = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return found, scratch.table("named", named.join(least_of, "root").select("fp", "component_id"))
 
 
-def word_fingerprints(texts: list[bytes], fields: int) -> np.ndarray:
-    """(texts, fields) uint64 SimHashes of each text's set of words, by so many hash functions."""
-    out, hashes, counts, at = np.zeros((len(texts), fields), np.uint64), [], [], 0
-
-    def flush(upto: int) -> None:
-        n, h = np.array(counts, np.int64), np.array(hashes, np.uint64)
-        some = np.flatnonzero(n)
-        for k in range(fields if len(some) else 0):
-            x = (h ^ np.uint64(0xA0761D6478BD642F * (k + 1) % (1 << 64))) * np.uint64(0xE7037ED1A0B428DB)
-            x = (x ^ x >> np.uint64(32)) * np.uint64(0x8EBC6AF09C88C6E3)
-            bits = np.unpackbits((x ^ x >> np.uint64(32)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            sums = np.zeros((len(n), 64), np.int64)
-            sums[some] = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
-            out[at:upto, k] = np.packbits(2 * sums > n[:, None], axis=1).view(">u8")[:, 0]
-
-    digest = xxhash.xxh64_intdigest
-    for k, t in enumerate(texts):
-        words = set(t.lower().split())
-        hashes += [digest(w, SEED) for w in words]
-        counts.append(len(words))
-        if len(hashes) > BLOCK // 8 or k == len(texts) - 1:
-            flush(k + 1)
-            hashes, counts, at = [], [], k + 1
-    return out
-
-
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; equal texts share one array."""
     seen: dict[bytes, np.ndarray] = {}

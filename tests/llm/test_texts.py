@@ -144,8 +144,6 @@ def test_simhash_query_matches_brute_force(spark, sf):
 @pytest.mark.parametrize("chunk", [5, 4096])
 def test_links_join_what_is_linked(spark, chunk):
     """Dense balls, chains and lone points; with small chunks long lists are dealt out in pairs of chunks."""
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(4)
     flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
     fps = {int(x) for x in rng.integers(0, 1 << 63, 60)}
@@ -157,7 +155,7 @@ def test_links_join_what_is_linked(spark, chunk):
             fps.add(x)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
-    nodes = spark.createDataFrame([(s,) for s in signed], "fp long").select(F.col("fp").alias("node"), F.array("fp").alias("fps"), F.lit(0).cast("long").alias("check"))
+    nodes = spark.createDataFrame([(s,) for s in signed], "fp long")
     scratch = common.Scratch(spark)
     roots = {r["node"]: r["root"] for r in simhash.components(simhash.links_between(nodes, scratch, chunk=chunk), scratch).collect()}
     want = naive_components(fps)
@@ -178,10 +176,34 @@ def test_simhash_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty)[0].count() == 0
 
 
-def test_word_fingerprints_are_of_sets():
-    a, b = simhash.word_fingerprints([b"one two three two", b"three ONE two"], 3)
-    assert (a == b).all() and len(set(a.tolist())) == 3
-    assert (simhash.word_fingerprints([b"", b" \n"], 2) == 0).all()
+@pytest.mark.parametrize("sides", [False, True])
+def test_walked_postings_link_what_all_pairs_link(sides):
+    """One key's list: bytes at the triple are equal, others are near or far."""
+    rng = np.random.default_rng(8)
+    for triple in (0, 7, 19):
+        key = sum(int(rng.integers(256)) << 8 * p for p in simhash.TRIPLES[triple])
+        free = [8 * p + b for p in range(8) if p not in simhash.TRIPLES[triple] for b in range(8)]
+        fps = []
+        for k in range(90):
+            base = key if k % 9 == 0 else fps[k - 1]
+            flips = rng.choice(free, 20 if k % 9 == 0 else int(rng.integers(1, 7)), replace=False)
+            fps.append(base ^ sum(1 << int(b) for b in flips))
+        fps = np.array(sorted(set(fps)), np.uint64)
+        side = rng.integers(0, 2, len(fps)) == 1 if sides else None
+        parent = list(range(len(fps)))
+
+        def find(x, parent=parent):
+            return x if parent[x] == x else find(parent[x])
+
+        linked = lambda a, b: (int(fps[a]) ^ int(fps[b])).bit_count() <= 4 and (side is None or side[a] != side[b])  # noqa: E731, B023
+        want = [p for p in combinations(range(len(fps)), 2) if linked(*p)]
+        u, v = (x.view(np.uint64).tolist() for x in simhash.tree_links(fps, triple, side))
+        at = {int(f): k for k, f in enumerate(fps)}
+        for a, b in zip(u, v, strict=True):
+            assert linked(at[a], at[b])
+            assert find(at[a]) != find(at[b])
+            parent[find(at[a])] = find(at[b])
+        assert want and all(find(a) == find(b) for a, b in want)
 
 
 # --- suffixes ------------------------------------------------------------------------------------------------------
