@@ -4,7 +4,9 @@ Rows fall into buckets by a hash of their content. The matrix says how many rows
 is drawn from the law that a uniform permutation gives, with both margins exact. Rows are permuted inside buckets,
 sent by the matrix and permuted again inside shards.
 
-Defined cases: a null text has no bytes, its CRC is 0; equal rows are interchangeable; an empty table has no rows.
+Defined cases: a null text has no bytes, its CRC is 0; rows that are equal in all key columns are interchangeable, so
+either may take either slot; a null id is a key like others; an empty table has no rows; of a long text only its size
+and CRC move; other columns, whatever their names, are carried by shuffle_into_shards unless they begin with `_`.
 """
 
 from __future__ import annotations
@@ -19,11 +21,27 @@ from . import common
 SHARDS, BUCKETS, SLICES_BITS, SEED = 24, 1024, 6, 20240917
 
 
+def large_draw(rng: np.random.Generator, good: int, bad: int, left: int) -> int:
+    """A hypergeometric draw for margins beyond numpy's sampler, by inversion around the mode.
+
+    The law's ratios of neighbours give its weights, and their running sum is inverted. What lies over 9 deviations (and
+    40 places) from the mode weighs less than a double resolves, so nothing that could be drawn is left out.
+    """
+    low, high = max(0, left - bad), min(good, left)
+    mode = (left + 1) * (good + 1) // (good + bad + 2)
+    p = good / (good + bad)
+    reach = 40 + int(9 * (left * p * (1 - p) * (good + bad - left) / (good + bad)) ** 0.5)
+    a, b = max(low, mode - reach), min(high, mode + reach)
+    x = np.arange(a, b, dtype=np.float64)  # weight of x + 1 by that of x
+    log = np.concatenate(([0.0], np.cumsum(np.log((good - x) / (x + 1)) + np.log((left - x) / (bad - left + x + 1)))))
+    weight = np.cumsum(np.exp(log - log.max()))
+    return a + int(np.searchsorted(weight, rng.random() * weight[-1], side="right"))
+
+
 def communication_matrix(rows_in: list[int], shards: int, seed: int) -> np.ndarray:
     """rows_in[b] x shards counts with row sums rows_in and column sums at most one apart.
 
-    numpy's exact sampler takes margins below 1e9; beyond, a margin is drawn from the normal limit of the same law,
-    rounded and clipped, which keeps both sums exact.
+    numpy's sampler takes margins below 1e9, `large_draw` any others; both draw from the same law.
     """
     rng, total = np.random.Generator(np.random.PCG64(seed)), int(sum(rows_in))
     room = np.array([total // shards + (s < total % shards) for s in range(shards)], dtype=np.int64)
@@ -40,9 +58,7 @@ def communication_matrix(rows_in: list[int], shards: int, seed: int) -> np.ndarr
             elif max(good, bad) < 10**9:
                 x = int(rng.hypergeometric(good, bad, left))
             else:
-                p = good / (good + bad)
-                spread = (left * p * (1 - p) * (good + bad - left) / max(1, good + bad - 1)) ** 0.5
-                x = min(high, max(low, round(rng.normal(left * p, spread))))
+                x = large_draw(rng, good, bad, left)
             out[b, s], left = x, left - x
         room -= out[b]
     return out
