@@ -36,9 +36,7 @@ DATED = r"(\d{4}|[<\[{])"
 NOTICE = rf"(?m)^[ \t/*#;-]*(copyright[ \t:,]*(\(c\)|©|{DATED})|(\(c\)|©)[ \t]*{DATED})[^\n]*$"
 #: Two words count as a spelling across a line break, too.
 RULES = ((NOTICE, ""), *((re.sub(r"(?<=[a-z]) (?=[a-z])", lambda _: r"[ \t\n/*#;-]+", a), b) for a, b in SPELLINGS))
-#: The registered SQL's rules: any line that starts with one of the words goes.
-SQL_RULES = ((r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$", ""), *SPELLINGS)
-SPACE, LINE_EDGE = r"[ \n]+", r" *\n *"
+SPACE = r"[ \n]+"
 
 
 def _python(pattern: str) -> str:
@@ -96,10 +94,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     text = "lower(coalesce(text, ''))"
-    for pattern, by in SQL_RULES:
+    for pattern, by in RULES:
         text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
     line = lambda x: f"trim(regexp_replace({x}, '{SPACE}', ' ', 'g'))"
-    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted((digest_of(text), name) for name, text in TEXTS))
+    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known().items()))
     return f"""WITH k AS (SELECT * FROM (VALUES {values}) v(digest, license)),
 d AS (SELECT row_number() OVER () AS r, doc_id, {text} AS x FROM documents),
 l AS (SELECT r, sha256({line('line')}) AS digest FROM (SELECT r, unnest(string_split(x, chr(10))) AS line FROM d)),
