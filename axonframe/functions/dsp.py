@@ -157,9 +157,11 @@ def _products(section: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.where(lag >= 0, impulse[np.abs(lag)], 0.0).T, powers[:BLOCK, 0].T, powers[BLOCK - 1 :: -1] @ feed, powers[BLOCK]
 
 
-def _pass(section: np.ndarray, x: np.ndarray, z1: float, z2: float) -> np.ndarray:
-    """One section over x from state (z1, z2). In a block the output is linear in its samples and the state before it:
-    products give all blocks' own part at once, and only the states are stepped from block to block."""
+def passed(section: np.ndarray, x: np.ndarray, z1: float, z2: float) -> tuple[np.ndarray, float, float]:
+    """One section over x from state (z1, z2), and the state behind x. In a block the output is linear in its samples and
+    the state before it: products give all blocks' own part at once, and only the states are stepped from block to block."""
+    if not len(x):
+        return x, z1, z2
     own, given, push, step = _products(tuple(map(float, section)))
     wide = np.concatenate((x, np.zeros(-len(x) % BLOCK))).reshape(-1, BLOCK)
     pushed = wide @ push
@@ -167,14 +169,17 @@ def _pass(section: np.ndarray, x: np.ndarray, z1: float, z2: float) -> np.ndarra
     for j in range(len(wide)):
         states[j] = now
         now = step @ now + pushed[j]
-    return (wide @ own + states @ given).reshape(-1)[: len(x)]
+    y = (wide @ own + states @ given).reshape(-1)[: len(x)]
+    _, b1, b2, _, a1, a2 = section
+    before = b2 * x[-2] - a2 * y[-2] if len(x) > 1 else z2
+    return y, b1 * x[-1] - a1 * y[-1] + before, b2 * x[-1] - a2 * y[-1]
 
 
 def _forward(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     level = x[0]
     for s in sos:
         z1, z2 = _steady(s)
-        x, level = _pass(s, x, z1 * level, z2 * level), level * s[:3].sum() / s[3:].sum()
+        x, level = passed(s, x, z1 * level, z2 * level)[0], level * s[:3].sum() / s[3:].sum()
     return x
 
 

@@ -8,51 +8,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Values of a group up to which approximate percentiles are exact in Spark, and the inverse of their rank error beyond.
+ACCURACY = 10_000
+
 
 def hazen(df: DataFrame, value: str, p: float, by: Sequence[str] = (), out: str = "q") -> DataFrame:
     """(by, out): the percentile with midpoint interpolation: place n * p / 100 + 1/2, within 1..n, linear between.
 
-    Equal values are counted first, so what is ranked is one row a distinct value.
+    Approximate percentiles with a known rank error give each group a narrow band that must hold the value; what lies
+    below is counted, and only the band's distinct values are ranked. Both are aggregations with map-side parts, so a
+    group is neither moved nor held as a whole; small groups are a band.
     """
-    p = min(100.0, max(0.0, p))
-    keys = list(by)
-    if not keys:
-        return _hazen_of_all(df, value, p, out)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*keys).orderBy("_v")
-    ranked = counts.withColumn("_hi", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(W.partitionBy(*keys)))
-    place = F.least(F.greatest(F.col("_all") * F.lit(p / 100) + 0.5, F.lit(1.0)), F.col("_all").cast("double"))
-    ranked = ranked.withColumn("_p", place).withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
-    at = lambda k: F.max(F.when((F.col("_lo") <= k) & (k <= F.col("_hi")), F.col("_v")))
-    rows = ranked.groupBy(*keys).agg(at(F.floor("_p")).alias("_a"), at(F.ceil("_p")).alias("_b"), F.max("_p").alias("_p"))
-    return rows.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).alias(out))
-
-
-def _hazen_of_all(df: DataFrame, value: str, p: float, out: str, accuracy: int = 100_000) -> DataFrame:
-    """hazen of a whole table. Approximate percentiles with a known rank error give a narrow band that must hold the
-    value; counting what lies below and ranking the band alone makes it exact, so no task sees all values."""
-    spark, rows = df.sparkSession, df.where(F.col(value).isNotNull())
-    n = rows.count()
-    if not n:
-        return spark.createDataFrame([(None,)], f"{out} double")
-    slack = 3 / accuracy + 2 / n
-    low, high = rows.agg(F.percentile_approx(value, [max(0.0, p / 100 - slack), min(1.0, p / 100 + slack)], accuracy).alias("q")).first()["q"]
-    place = min(max(n * p / 100 + 0.5, 1.0), float(n))
-    below = rows.where(F.col(value) < low).count()
-    low_rank, high_rank = int(place), -int(-place // 1)
-    band = rows.where(F.col(value).between(low, high)).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ranked = band.withColumn("_hi", F.lit(below) + F.sum("_n").over(W.partitionBy().orderBy("_v"))).withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
-    at = lambda k: F.max(F.when((F.col("_lo") <= k) & (F.lit(k) <= F.col("_hi")), F.col("_v")))
-    return ranked.agg(at(low_rank).alias("_a"), at(high_rank).alias("_b")).select((F.col("_a") + (F.col("_b") - F.col("_a")) * (place - low_rank)).alias(out))
+    keys, share = list(by), min(100.0, max(0.0, p)) / 100
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = F.percentile_approx("_v", F.array(F.lit(max(0.0, share - 3 / ACCURACY)), F.lit(min(1.0, share + 3 / ACCURACY))), F.lit(ACCURACY))
+    facts = rows.groupBy(*keys).agg(F.count("*").alias("_all"), ends.alias("_ends"))
+    large = F.col("_all") > ACCURACY
+    facts = facts.select(*keys, "_all", F.when(large, F.col("_ends")[0]).alias("_from"), F.when(large, F.col("_ends")[1]).alias("_to"))
+    facts = facts.withColumn("_p", F.least(F.greatest(F.col("_all") * F.lit(share) + 0.5, F.lit(1.0)), F.col("_all").cast("double")))
+    near = rows.join(facts, keys) if keys else rows.crossJoin(F.broadcast(facts))  # one row
+    # values below the band are one value of it, so that they count
+    counts = near.where(F.col("_to").isNull() | (F.col("_v") <= F.col("_to"))).withColumn("_v", F.when(F.col("_v") >= F.coalesce("_from", F.col("_v")), F.col("_v")))
+    counts = counts.groupBy(*keys, "_v", "_p").agg(F.count("*").alias("_n"))
+    ranked = counts.withColumn("_hi", F.sum("_n").over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("_v"))))
+    at = lambda k: F.max(F.when((F.col("_hi") - F.col("_n") < k) & (k <= F.col("_hi")), F.col("_v")))
+    found = ranked.groupBy(*keys).agg(at(F.floor("_p")).alias("_a"), at(F.ceil("_p")).alias("_b"), F.max("_p").alias("_p"))
+    return found.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).alias(out))
 
 
 def median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "med") -> DataFrame:
-    return df.groupBy(*by).agg(F.median(value).alias(out))
+    return hazen(df, value, 50.0, by, out)
 
 
 def mad(df: DataFrame, value: str, by: Sequence[str], scale: float = 1.4826) -> DataFrame:
     """(by, med, mad): the median and the scaled median distance from it."""
     keys = list(by)
     med = median(df, value, keys)
-    off = df.join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("med")))
-    return off.groupBy(*keys).agg(F.first("med").alias("med"), (F.median("_d") * scale).alias("mad"))
+    off = median(df.join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("med"))), "_d", keys, "mad")
+    return med.join(off, keys).withColumn("mad", F.col("mad") * scale)

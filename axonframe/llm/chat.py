@@ -9,7 +9,9 @@ becomes `\h` and `<` becomes `\l` (and `:` becomes `\c` in roles), so no mark ca
 can be undone.
 
 Defined cases: null texts and roles are empty; rows of equal turn keep apart, ordered by role, then text; null turns
-come first; an empty log gives no conversation. A null conversation id is an id like another. DataFrame functions only.
+come first; equal rows are turns of their own; an empty log gives no conversation. A null conversation id is an id like
+another. Messages of any length are kept whole, but a conversation's rendering is one value, so it has to fit a row.
+Other columns aren't read, whatever their names. DataFrame functions only.
 """
 
 from __future__ import annotations

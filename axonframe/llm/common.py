@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every word rule here: the bytes 0x20 and 0x09 to 0x0D.
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run in the shared folder; lineage ends at each."""
+    """Tables of one operator run in the shared folder; lineage ends at each. Results read from them, so they stay until
+    the driver ends, which removes them."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/axonframe-{uuid.uuid4().hex}"
+        path, files = self._place(self.root)
+        files.deleteOnExit(path)
+
+    def _place(self, path: str):
+        """A path of the JVM and its file system."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -44,9 +52,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._place(f"{self.root}/{name}")
+        files.delete(path, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

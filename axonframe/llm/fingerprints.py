@@ -5,7 +5,9 @@ a feature if it is the rarest of its neighbourhood often enough. Features go int
 chains are likened by their filters' bit overlap, normalised by what chance would give.
 
 Defined cases: null and empty texts have an empty chain, like 1 to each other and 0 to others; a text shorter than a
-window is one feature; repeated ids follow each other by their texts; a table of one row is its own next document.
+window is one feature; repeated ids follow each other by their texts, null ids come last; a table of one row is its own
+next document, an empty one has no rows; of windows that are equally rare the first wins. Texts are read whole in blocks
+of BLOCK bytes or one text, so memory grows with the longest text alone. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

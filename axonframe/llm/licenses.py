@@ -5,7 +5,8 @@ joined with those of known licences and notices. Whole texts are units, and so a
 longer texts. The known digests are a fixed short table, which is broadcast. DataFrame functions only.
 
 Defined cases: null texts count as empty; a unit that normalises to nothing has no licence; repeated rows are answered
-each; an empty table has no rows.
+each; an empty table has no rows; of lines with the same licence the name comes once, in name order; texts are
+normalised whole, however long, within their row. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ laced blocks in clusters, with cues; `packets` parses any such tree (Xiph, EBML,
 or BlockGroup, known or unknown sizes) into one row a packet: track, timestamp, byte range and flags.
 
 Defined cases: a null or empty payload has a file without clusters; bytes that end within an element raise ValueError,
-which `packet_table` returns in the column `error`.
+which `packet_table` returns in the column `error`. Equal texts have equal files and features, repeated rows a row each;
+null ids stay; an empty table has no rows. A text is one file, however long, and is held by itself. Other columns aren't
+read, whatever their names.
 """
 
 from __future__ import annotations

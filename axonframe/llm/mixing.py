@@ -5,7 +5,9 @@ token demand; inverting that at a document's place in its source's token stream
 position, and documents are range-sorted by position.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a table without words
-has targets and takes of 0; repeated rows are separate documents of the stream.
+has targets and takes of 0; an empty table has no rows; repeated rows are separate documents of the stream, and rows
+that are equal in place, id and size are interchangeable. A text counts whole; it is one row, and its words are counted
+where it lies. Other columns aren't read, whatever their names; measured(keep=...) carries those named.
 """
 
 from __future__ import annotations

@@ -16,12 +16,13 @@ columns aren't read, whatever their names (kept_of_groups carries them all).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ CHUNK = 4096
 BLOCK = 1 << 18
 #: Postings in a list up to which all pairs are tallied at once.
 FEW = 16
-#: Near copies: keys of a text, min-hashes of a key, and shingles of one task's chunk.
-BANDS, ROWS, SHINGLES = 32, 4, 1 << 21
+#: Near copies: keys of a text, min-hashes of a key, shingles of one task's chunk, and rounds that take a large group apart.
+BANDS, ROWS, SHINGLES, STARS = 32, 4, 1 << 21, 8
 MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, ROWS, 2), np.uint64) | np.array([0, 1], np.uint64)
 
 
@@ -379,14 +380,95 @@ def _verified(words: int, similarity: float):
     return run
 
 
+def _star(words: int):
+    """Texts sorted by (root, part), the part's copy of the head first, to each other text's similarity to the head."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            body, ends = common.utf8(batch["text"])
+            raw, ends = body.tobytes(), ends.tolist()
+            out: dict[int, tuple[int, float]] = {}
+            for k, (root, part, node, leads) in enumerate(zip(*(batch[c].to_pylist() for c in ("root", "part", "node", "leads")), strict=True)):
+                own = shingle_sets([raw[ends[k] : ends[k + 1]]], words)[0]
+                if leads:
+                    now, head = (root, part), own
+                elif now == (root, part):
+                    both = len(np.intersect1d(own, head, assume_unique=True))
+                    out[node] = root, both / (len(own) + len(head) - both)
+            roots, likes = zip(*out.values(), strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(list(out), pa.int64()), pa.array(likes, pa.float64())], names=["root", "node", "like"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, parts: str = "parts") -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(parts))
+
+
+def starred(members: DataFrame, with_text, scratch: common.Scratch, words: int, similarity: float, chunk: int, rounds: int = STARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, members with label, pairs of labels to compare) of candidate groups too large for a task.
+
+    Round by round the least text without a label is held against all others without one; those alike take the round's
+    number as label. That is linear in a group, and ends when what has no label (label 0) fits a task. Texts of one label
+    are joined already. Of two labels the Jaccard distance of the heads, less both radii, bounds that of their texts, so
+    labels that lie too far apart aren't compared.
+    """
+    open_, labels, links, likes = members, [], [], []
+    for k in range(1, rounds + 1):
+        sizes = open_.groupBy("root").agg(F.sum("size").alias("total"), F.min("node").alias("head")).where(F.col("total") > chunk)
+        large = scratch.table(f"star{k}", sizes.withColumn("parts", F.ceil(F.col("total") / chunk)))
+        if not large.head(1):
+            break
+        now = open_.join(large, "root")
+        heads = now.where(F.col("node") == F.col("head"))
+        spread = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("leads", F.lit(True))
+        others = now.where(F.col("node") != F.col("head")).withColumn("part", _dealt(now)).withColumn("leads", F.lit(False))
+        texts = with_text(spread.unionByName(others).select("root", "part", "node", "leads", "least"))
+        found = texts.repartition("root", "part").sortWithinPartitions("root", "part", F.desc("leads")).mapInArrow(_star(words), "root long, node long, like double")
+        found = scratch.table(f"likes{k}", found.unionByName(heads.select("root", "node", F.lit(1.0).alias("like"))))
+        near = found.where(F.col("like") >= similarity - 1e-9)
+        links.append(near.join(large, "root").where(F.col("node") != F.col("head")).select(F.col("head").alias("u"), F.col("node").alias("v")))
+        labels.append(near.withColumn("label", F.lit(k)))
+        likes.append(found.where(F.col("like") < similarity - 1e-9).withColumn("x", F.lit(k)))
+        open_ = scratch.table(f"open{k}", open_.join(near.select("node"), "node", "left_anti"))
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    labelled = scratch.table("labels", union(labels))
+    members = scratch.table("labelled", members.join(labelled.select("node", "label", "like"), "node", "left").withColumn("label", F.coalesce("label", F.lit(0))))
+    catalogue = members.groupBy("root", "label").agg(F.ceil(F.sum("size") / chunk).alias("parts"), (1 - F.min("like")).alias("radius"), F.min(F.when(F.col("like") == 1, F.col("node"))).alias("head"))
+    catalogue = scratch.table("catalogue", catalogue)  # a row for each round of a group that doesn't fit a task
+    x, y = (catalogue.select("root", *(F.col(c).alias(f"{c}_{n}") for c in ("label", "parts", "radius", "head"))) for n in "xy")
+    apart = union(likes).select(F.col("root"), F.col("x").alias("label_x"), F.col("node").alias("head_y"), (1 - F.col("like")).alias("apart"))
+    pairs = x.join(y, "root").where((F.col("label_x") < F.col("label_y")) | ((F.col("label_x") == 0) & (F.col("label_y") == 0))).join(apart, ["root", "label_x", "head_y"], "left")
+    far = F.coalesce(F.col("apart") - F.col("radius_x") - F.col("radius_y") > 1 - similarity + 1e-9, F.lit(False))
+    return union(links), members, pairs.where(~((F.col("label_x") > 0) & far)).select("root", "label_x", "parts_x", "label_y", "parts_y")
+
+
+def chunk_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(root, i, j, chunk, node, least): members once for each pair of chunks i, j that they are to be compared in. Chunks
+    are parts of a label."""
+    name = lambda label, part: F.shiftleft(label.cast("long"), 40) + part
+    sides = []
+    for own, other in ("xy", "yx"):
+        rows = members.join(pairs.withColumnRenamed(f"label_{own}", "label"), ["root", "label"])
+        if own == "y":  # a label against itself is dealt out once
+            rows = rows.where(F.col("label") != F.col("label_x"))
+            mine, theirs = F.col("label"), F.col("label_x")
+        else:
+            mine, theirs = F.col("label"), F.col("label_y")
+        rows = rows.withColumn("chunk", name(mine, _dealt(rows, f"parts_{own}")))
+        rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"parts_{other}") - 1))).withColumn("other", name(theirs, F.col("_q")))
+        sides.append(rows.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "least"))
+    return sides[0].unionByName(sides[1])
+
+
 def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = SHINGLES) -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays (then the smallest text hash).
 
     Two texts are near copies if their sets of `words`-word shingles have a Jaccard similarity of `similarity` or more,
     counted over the whole sets. What is counted are the texts of a candidate group: those joined by a common key of
     min-hashes. Two texts of similarity s have none in common with probability (1 - s**ROWS)**BANDS: at 0.8, 5e-8.
-    Candidate groups of over `chunk` shingles are dealt out as pairs of chunks. Texts without words form one group; a
-    row without an id is the last of its group.
+    Candidate groups of over `chunk` shingles are taken apart by `starred` first; what is left to compare is dealt out
+    as pairs of chunks. Texts without words form one group; a row without an id is the last of its group.
     """
     scratch, names = common.Scratch(docs.sparkSession), docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
@@ -406,6 +488,11 @@ def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chu
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(node.view(np.int64)), pa.array(sizes), lists], names=["doc_id", "th", "node", "size", "keys"])
 
+    def with_text(found: DataFrame) -> DataFrame:
+        """found with the text of its column `least`."""
+        keyed = found.select("*", F.col("least.doc_id").alias("at_id"), F.col("least.th").alias("at_th")).drop("least")
+        return rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).join(keyed, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).drop("doc_id", "th", "at_id", "at_th")
+
     signs = rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).mapInArrow(run, f"doc_id {kind}, th long, node long, size long, keys array<long>")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     signs = scratch.table("signs", signs)
@@ -416,15 +503,17 @@ def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chu
     # a component's least node is its root and has no row of its own
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct()
     members = scratch.table("members", nodes.select("node", "size", "least").join(groups, "node"))
-    parts = members.groupBy("root").agg(F.ceil(F.sum("size") / chunk).alias("parts"))
-    dealt = members.join(parts, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), "parts"))
-    dealt = dealt.select(F.col("least.doc_id").alias("at_id"), F.col("least.th").alias("at_th"), "root", "node", "chunk", "parts")
-    dealt = rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).join(dealt, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "text")
-    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verified(words, similarity), "u long, v long")
+    large = scratch.table("large", members.groupBy("root").agg(F.sum("size").alias("total")).where(F.col("total") > chunk).select("root"))
+    zero, links = F.lit(0).cast("long"), []
+    dealt = members.select("root", zero.alias("i"), zero.alias("j"), zero.alias("chunk"), "node", "least")
+    if large.head(1):
+        found, labelled, pairs = starred(members.join(large, "root", "left_semi"), with_text, scratch, words, similarity, chunk)
+        links.append(found)
+        dealt = dealt.join(large, "root", "left_anti").unionByName(chunk_pairs(labelled, pairs))
+    compared = with_text(dealt).select("root", "i", "j", "chunk", "node", "text")
+    links.append(compared.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verified(words, similarity), "u long, v long"))
     exact = common.Scratch(docs.sparkSession)
-    roots = exact.table("roots", components(links, exact))
+    roots = exact.table("roots", components(reduce(DataFrame.unionByName, links), exact))
     named = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = scratch.table("kept", named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.th").alias("kept_th")))
     out = rows.join(kept, doc_id.eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")

@@ -6,7 +6,9 @@ and L1 sparsity leave a few thousand weights, which are broadcast for scoring. T
 of labelled rows (`SAMPLE`, by a hash order of the ids), each text whole; scoring covers every row.
 
 Defined cases: null and empty texts score as the bias alone; labels that are null or contradict each other count as
-the larger; without a toxic training row every score is 0; a null doc_id hashes as the empty text.
+the larger; without a toxic training row every score is 0; a null doc_id hashes as the empty text; repeated rows are
+scored each, and learned from each, in the order of their texts; an empty table has no rows. Texts are read whole in
+blocks of BLOCK bytes or one text. Other columns aren't read, whatever their names; accepted() keeps them all.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("channel",)
@@ -25,6 +26,25 @@ def whole(by: Sequence[str] = KEYS):
     return W.partitionBy(*by)
 
 
+#: Samples of a chunk of a series whose windows reach a few samples only.
+CHUNK = 1 << 22
+
+
+def chunked(df: DataFrame, by: Sequence[str], back: int, ahead: int) -> tuple[DataFrame, WindowSpec]:
+    """df with its chunk `_c`, and the window over a chunk in sample order, so that one series spreads over tasks.
+
+    A sample goes to each chunk that a window from `back` samples before to `ahead` behind one of its own samples
+    touches; `own` takes the copies away again.
+    """
+    size, at = max(CHUNK, back + ahead), F.col("i") - 1
+    near = F.array_distinct(F.array(*(F.greatest(F.floor(x / size), F.lit(0)) for x in (at, at - ahead, at + back))))
+    return df.withColumn("_c", F.explode(near)), W.partitionBy(*by, "_c").orderBy("i")
+
+
+def own(df: DataFrame, back: int, ahead: int) -> DataFrame:
+    return df.where(F.floor((F.col("i") - 1) / max(CHUNK, back + ahead)) == F.col("_c")).drop("_c")
+
+
 def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
@@ -49,6 +69,16 @@ def scratch_path(spark, name: str) -> str:
     return f"{root.rstrip('/')}/axonframe-{uuid.uuid4().hex}/{name}"
 
 
+def write_bytes(spark, path: str, data: bytes) -> None:
+    """A file of these bytes, by Spark's own file systems, so the path may be in any store that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(data, 0, len(data))
+    finally:
+        out.close()
+
+
 def shipped(f):
     """f(spark, ...), with the package at hand on the executors and Arrow batches of bounded size."""
     import functools

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dsp
-from ..model import KEYS, half_away, series
+from ..model import KEYS, chunked, half_away, own
 
-#: Samples of a chunk; a series up to this length is filtered in one piece, which is exact.
+#: Samples of a chunk; a series up to this length is filtered in one piece.
 CHUNK = 4_000_000
+#: What a chunk leaves out counts for less than a double resolves, so chunks differ from one piece by rounding only.
+UNSEEN = 1e-17
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,7 @@ class Filter:
 PRESETS = {"standard": Filter("band", "butterworth", 4, (300.0, 3000.0)), "broadband": Filter("band", "butterworth", 4, (500.0, 5000.0))}
 
 
-def halo(coefficients: np.ndarray, tolerance: float = 1e-9) -> int:
+def halo(coefficients: np.ndarray, tolerance: float = UNSEEN) -> int:
     """Samples after which what lies further back counts for less than the tolerance."""
     if coefficients.ndim == 1:
         return 2 * len(coefficients)
@@ -56,12 +58,13 @@ def halo(coefficients: np.ndarray, tolerance: float = 1e-9) -> int:
 def filtered(df: DataFrame, coefficients: np.ndarray | None, by: Sequence[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
     """(keys, i, t, y) filtered forward and backward. NULL samples take the value before them.
 
-    A sample near a chunk's edge is sent to the neighbour too, as part of its halo.
+    A sample near a chunk's edge is sent to the neighbour too, as part of its halo; a chunk is no shorter than its halo.
     """
     rows = df.select(*by, "i", "t", "y")
     if coefficients is None:
         return rows
     reach, names, keys = halo(coefficients), [*by, "i", "t", "y"], [*by, "_c"]
+    chunk = max(chunk, reach)
     c = F.floor((F.col("i") - 1) / chunk)
     near = F.array_distinct(F.array(c, F.greatest(F.floor((F.col("i") - 1 - reach) / chunk), F.lit(0)), F.floor((F.col("i") - 1 + reach) / chunk)))
     rows = rows.withColumn("_c", F.explode(near))
@@ -155,17 +158,18 @@ def box_width(fs: float, ms: float | None = None) -> int:
 
 def boxcar(df: DataFrame, width: int, by: Sequence[str] = KEYS) -> DataFrame:
     """Moving sum over `width` samples by `width`, also at the ends; an even width reaches one further ahead."""
-    w = series(by).rowsBetween(-(width - 1 - width // 2), width // 2)
-    return df.withColumn("y", F.sum("y").over(w) / width)
+    back, ahead = width - 1 - width // 2, width // 2
+    rows, w = chunked(df, by, back, ahead)
+    return own(rows.withColumn("y", F.sum("y").over(w.rowsBetween(-back, ahead)) / width), back, ahead)
 
 
 def convolved(df: DataFrame, taps: Sequence[float], by: Sequence[str] = KEYS) -> DataFrame:
     """One causal pass of taps, as a sum of lags; before the first sample there is nothing."""
-    w = series(by)
+    rows, w = chunked(df, by, len(taps) - 1, 0)
     total = F.lit(0.0)
     for k, c in enumerate(taps):
         total = total + F.lit(float(c)) * F.coalesce(F.lag("y", k).over(w) if k else F.col("y"), F.lit(0.0))
-    return df.withColumn("y", total)
+    return own(rows.withColumn("y", total), len(taps) - 1, 0)
 
 
 def frequency_response(spark, sos: np.ndarray, fs: float, points: int = 1024) -> DataFrame:

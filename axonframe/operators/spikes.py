@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import stats
-from ..model import KEYS, half_away, series, whole
+from ..functions import scan, stats
+from ..model import KEYS, chunked, half_away, own, series, whole
 
 METHODS, POLARITIES = ("standard", "mad", "neo", "rolling", "percentile"), ("negative", "positive", "both")
 #: What a detection starts from.
@@ -26,8 +26,8 @@ def refractory_samples(ms: float, fs: float) -> int:
 
 def energy(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """The nonlinear energy y^2 less the product of the neighbours, in place of y; beyond the ends is 0."""
-    w = series(by)
-    return df.withColumn("y", F.col("y") * F.col("y") - F.coalesce(F.lag("y").over(w), F.lit(0.0)) * F.coalesce(F.lead("y").over(w), F.lit(0.0)))
+    rows, w = chunked(df, by, 1, 1)
+    return own(rows.withColumn("y", F.col("y") * F.col("y") - F.coalesce(F.lag("y").over(w), F.lit(0.0)) * F.coalesce(F.lead("y").over(w), F.lit(0.0))), 1, 1)
 
 
 def unit_range(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
@@ -54,8 +54,9 @@ def thresholds(df: DataFrame, method: str, k: float = DEFAULTS["k"], by: Sequenc
 
 def rolling_thresholds(df: DataFrame, reach: int, k: float = DEFAULTS["k"], by: Sequence[str] = KEYS) -> DataFrame:
     """df with threshold: median and MAD over the samples at most `reach` away."""
-    w = series(by).rowsBetween(-reach, reach)
-    rows = df.withColumn("_w", F.collect_list("y").over(w)).withColumn("_m", F.percentile("y", 0.5).over(w))
+    rows, w = chunked(df, by, reach, reach)
+    w = w.rowsBetween(-reach, reach)
+    rows = own(rows.withColumn("_w", F.collect_list("y").over(w)).withColumn("_m", F.percentile("y", 0.5).over(w)), reach, reach)
     half = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2
     off = half(F.array_sort(F.transform("_w", lambda x: F.abs(x - F.col("_m")))))
     return rows.withColumn("threshold", F.col("_m") + k * 1.4826 * off).drop("_w", "_m")
@@ -82,12 +83,17 @@ def peak_candidates(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
 
 
 def suppressed(peaks: DataFrame, distance: int, by: Sequence[str] = KEYS) -> DataFrame:
-    """Peaks, tallest first (then earliest), without others at most `distance` samples away. Folds a series' peaks."""
-    kind = "array<struct<h:double,i:bigint,t:double>>"
-    near = lambda a, x: F.exists(a, lambda k: F.abs(k["i"] - x["i"]) <= distance)
-    sorted_ = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("h"), F.col("i").cast("long").alias("i"), "t")))
-    kept = F.aggregate(sorted_, F.array().cast(kind), lambda a, x: F.when(near(a, x), a).otherwise(F.concat(a, F.array(x))))
-    return peaks.groupBy(*by).agg(kept.alias("k")).select(*by, F.explode("k").alias("k")).select(*by, "k.i", "k.t", (-F.col("k.h")).alias("y"))
+    """Peaks, tallest first (then earliest), without others at most `distance` samples away.
+
+    Peaks further apart don't meet, so one pass over a series' sorted peaks settles each cluster of them by itself.
+    """
+    def kernel(state, columns, ends):
+        i, y = columns["i"], columns["y"]
+        breaks = np.flatnonzero(np.diff(i) > distance) + 1
+        done = len(i) if ends else int(breaks[-1]) if len(breaks) else 0
+        return scan.tallest(i[:done], y[:done], distance), done, None
+
+    return scan.scanned(peaks.select(*by, F.col("i").cast("long").alias("i"), "t", "y"), by, ["i"], kernel)
 
 
 def peaks(df: DataFrame, threshold: DataFrame, distance: int, by: Sequence[str] = KEYS) -> DataFrame:
@@ -115,14 +121,17 @@ def detected(df: DataFrame, method: str = "mad", polarity: str = "negative", k:
 def crossings(df: DataFrame, threshold: DataFrame, refractory: int, reach: int, by: Sequence[str] = KEYS) -> DataFrame:
     """(keys, i): samples above the threshold, each moved to the largest within `reach`, a refractory gap apart.
 
-    The largest neighbour is a window; what is folded is a series' samples above the threshold.
+    The largest neighbour is a window; what is kept is one pass over a series' samples above the threshold.
     """
-    w = series(by).rowsBetween(-reach, reach)
-    top = F.max(F.struct("y", (-F.col("i")).alias("ni"))).over(w)
-    rows = df.withColumn("_j", -top["ni"]).join(threshold, list(by)).where(F.col("y") > F.col("threshold"))
-    pairs = F.sort_array(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("_j").cast("long").alias("j"))))
-    kept = F.aggregate(pairs, F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x["i"] - F.element_at(a, -1) > refractory), F.concat(a, F.array(x["j"]))).otherwise(a))
-    return rows.groupBy(*by).agg(kept.alias("k")).select(*by, F.explode("k").alias("i"))
+    rows, w = chunked(df, by, reach, reach)
+    top = F.max(F.struct("y", (-F.col("i")).alias("ni"))).over(w.rowsBetween(-reach, reach))
+    rows = own(rows.withColumn("_j", -top["ni"]), reach, reach).join(threshold, list(by)).where(F.col("y") > F.col("threshold"))
+
+    def kernel(last, columns, ends):
+        kept, last = scan.spaced(columns["_i"], columns["i"], refractory + 1, last)
+        return kept, len(columns["_i"]), last
+
+    return scan.scanned(rows.select(*by, F.col("_j").cast("long").alias("i"), F.col("i").cast("long").alias("_i")), by, ["_i"], kernel).drop("_i")
 
 
 def require_enough(spikes: DataFrame, min_spikes: int) -> DataFrame:

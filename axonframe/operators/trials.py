@@ -8,23 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import KEYS, half_away, series, whole
+from ..functions import scan
+from ..model import KEYS, chunked, half_away, own, series, whole
 
 
 def rising_edges(df: DataFrame, threshold: float | Column, by: Sequence[str] = KEYS) -> DataFrame:
     """(keys, i, t): samples above the threshold whose predecessor isn't; a series that starts above has one at i = 1."""
     over = F.coalesce(F.col("y") > threshold, F.lit(False))
-    rows = df.withColumn("_up", over).withColumn("_was", F.coalesce(F.lag("_up").over(series(by)), F.lit(False)))
+    rows, w = chunked(df.withColumn("_up", over), by, 1, 0)
+    rows = own(rows.withColumn("_was", F.coalesce(F.lag("_up").over(w), F.lit(False))), 1, 0)
     return rows.where(F.col("_up") & ~F.col("_was")).select(*by, "i", "t")
 
 
 def greedy_gap(onsets: DataFrame, samples: int, by: Sequence[str] = KEYS) -> DataFrame:
-    """Onsets at least so many samples behind the last one kept; the first is kept.
+    """Onsets at least so many samples behind the last one kept; the first is kept. One pass over a series' sorted
+    onsets, whose state is the last kept."""
+    def kernel(last, columns, ends):
+        kept, last = scan.spaced(columns["i"], columns["i"], samples, last)
+        return kept, len(columns["i"]), last
 
-    Keeping depends on what was kept, so a series' onsets (few, not its samples) are folded in order.
-    """
-    kept = F.aggregate(F.sort_array(F.collect_list(F.struct("i", "t"))), F.array().cast("array<struct<i:bigint,t:double>>"), lambda a, x: F.when((F.size(a) == 0) | (x["i"] - F.element_at(a, -1)["i"] >= samples), F.concat(a, F.array(x))).otherwise(a))
-    return onsets.select(*by, F.col("i").cast("long").alias("i"), "t").groupBy(*by).agg(kept.alias("k")).select(*by, F.explode("k").alias("k")).select(*by, "k.i", "k.t")
+    return scan.scanned(onsets.select(*by, F.col("i").cast("long").alias("i"), "t"), by, ["i"], kernel)
 
 
 def successive_gap(onsets: DataFrame, seconds: float, by: Sequence[str] = KEYS) -> DataFrame:

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import struct
-import tempfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dsp
-from ..model import scratch_path
+from ..model import scratch_path, write_bytes
 from ..operators import imaging as H
 from ..sources import images as I
+from ..sources import mat as M
 from ..sources import readers as R
 from ..sources import views as V
 from ..streaming import live as J
@@ -38,17 +37,29 @@ TR = "tr AS (SELECT row AS roi, frame, avg(v) + 2 AS v FROM pix GROUP BY 1, 2)"
 DIFF = f"SELECT frame, avg(dv) AS value FROM (SELECT frame, abs(v - lag(v) OVER (PARTITION BY row, col ORDER BY frame)) AS dv FROM pix WHERE {ROI}) GROUP BY 1"
 
 
-@query("A11_read_tiff", "frame, c, row, col", "v", "SELECT f AS frame, 1::BIGINT AS c, r AS row, c AS col, ((f * 31 + r * 7 + c * 3) % 251)::DOUBLE AS v FROM (SELECT unnest(range(1, 6)) AS f), (SELECT unnest(range(1, 9)) AS r), (SELECT unnest(range(1, 11)) AS c)")
+STACK = "SELECT f AS frame, 1::BIGINT AS c, r AS row, c AS col, {t} ((f * 31 + r * 7 + c * 3) % 251)::DOUBLE AS v FROM (SELECT unnest(range(1, 6)) AS f), (SELECT unnest(range(1, 9)) AS r), (SELECT unnest(range(1, 11)) AS c)"
+
+
+def _images() -> np.ndarray:
+    """(row, column, frame)"""
+    r, c, f = np.meshgrid(np.arange(1, 9), np.arange(1, 11), np.arange(1, 6), indexing="ij")
+    return (f * 31 + r * 7 + c * 3) % 251
+
+
+@query("A11_read_tiff", "frame, c, row, col", "v", STACK.format(t=""))
+def _(spark, d):
+    path = scratch_path(spark, "stack.tif")
+    write_bytes(spark, path, tiff([_images()[:, :, k].astype(np.uint8) for k in range(5)]))
+    return I.read_tiff(spark, path)
+
+
+@query("A11_read_mat", "frame, c, row, col, inside", "t, v", f"SELECT *, row <= 4 AND col BETWEEN 2 AND 5 AS inside FROM ({STACK.format(t='f / 20.0::DOUBLE AS t,')})")
 def _(spark, d):
-    """Spark has no writer of raw bytes: in local mode a file is read, elsewhere the decoder alone runs."""
-    f, r, c = np.meshgrid(np.arange(1, 6), np.arange(1, 9), np.arange(1, 11), indexing="ij")
-    data = tiff([((f * 31 + r * 7 + c * 3) % 251).astype(np.uint8)[k] for k in range(5)])
-    if spark.sparkContext.master.startswith("local["):
-        path = Path(tempfile.mkdtemp()) / "stack.tif"
-        path.write_bytes(data)
-        return I.read_tiff(spark, str(path))
-    rows = [(n, 1, a + 1, b + 1, float(v)) for n, page in enumerate(I.pages(data), 1) for (a, b, _), v in np.ndenumerate(page)]
-    return spark.createDataFrame(rows, "frame long, c long, row long, col long, v double")
+    path, mask = scratch_path(spark, "stack.mat"), np.zeros((8, 10), bool)
+    mask[:4, 1:5] = True
+    write_bytes(spark, path, M.write_mat({"note": "a stack", "frames": _images(), "timeVec": np.arange(1, 6) / 20, "roiMask": mask}))
+    inside = M.read_mask(spark, path).withColumn("inside", F.lit(True))
+    return M.read_stack(spark, path).join(inside, ["stack", "row", "col"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
 def tiff(pages: list[np.ndarray]) -> bytes:
@@ -252,10 +263,11 @@ def _(spark, d):
     return J.windowed_rate(spikes, "1 hour").withColumn("start", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', start)"))
 
 
-@query("J01_windowed_rate_stream", "channel, n", "", "SELECT user_id AS channel, count(*) AS n FROM events GROUP BY 1")
+@query("J01_windowed_rate_stream", "channel, start, n", "", "SELECT user_id AS channel, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
+    """The stream's times are instants of the session's time zone; as those of the table they have none."""
     rates = _replayed(J.windowed_rate(_stream(spark, d), "1 hour"), "complete")
-    return rates.groupBy("channel").agg(F.sum("n").alias("n"))
+    return rates.withColumn("start", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(start AS TIMESTAMP_NTZ))"))
 
 
 @query("J02_debounced_onsets", "channel, i", "", """WITH RECURSIVE e AS (SELECT user_id AS channel, event_id AS i FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE value > 60 AND (p IS NULL OR p <= 60)),

@@ -12,6 +12,8 @@ from ..operators import conditioning as C
 from ..operators import features as X
 from ..operators import ranges as B
 from ..operators import trials as D
+from ..sources import folders as P
+from ..sources import mat as M
 from ..sources import readers as R
 from ..sources import sinks as S
 from ..sources import views as V
@@ -49,10 +51,6 @@ def numbered(spark, d) -> DataFrame:
     return rows.withColumn("t_rel", F.when(F.col("file") == 2, F.col("t_rel") + 1.0).otherwise(F.col("t_rel")))
 
 
-def small(spark, d) -> DataFrame:
-    return B.channels(V.signal(spark, d), range(1, 21))
-
-
 # --- flagship ------------------------------------------------------------------------------------------------------
 
 AVERAGE = "SELECT i, t_rel, avg(y) AS mean, CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(y) END AS sd, count(*) AS n FROM ({}) GROUP BY i, t_rel"
@@ -131,16 +129,24 @@ def _(spark, d):
     return R.union_trials(numbered(spark, d))
 
 
-@query("A09_lfp_reader", "channel, i", "t, y", "SELECT channel, i, t, y FROM sig WHERE channel IN (SELECT DISTINCT channel FROM sig ORDER BY 1 LIMIT 4)")
+def _stored(spark, d, stim: bool) -> str:
+    """Every channel of the table as a stored recording."""
+    path, signal = scratch_path(spark, "recording"), V.signal(spark, d)
+    S.write_recording(signal.drop("s"), V.stimulus(spark, d) if stim else None, path, None)
+    return path
+
+
+@query("A09_lfp_reader", "source, channel, i", "t, y", """SELECT 'data' AS source, channel, i, t, y FROM sig WHERE channel IN (SELECT DISTINCT channel FROM sig ORDER BY 1 LIMIT 4)
+  UNION ALL SELECT 'stim', channel, i, t, s FROM sig""")
 def _(spark, d):
-    return R.default_selection(V.signal(spark, d))
+    data, stim = R.read_recording(spark, _stored(spark, d, True), 4)
+    return data.withColumn("source", F.lit("data")).unionByName(stim.withColumn("source", F.lit("stim")))
 
 
-@query("A10_mua_reader", "source, n", "", "SELECT 'data' AS source, count(*) AS n FROM sig UNION ALL SELECT 'stim', 0")
+@query("A10_mua_reader", "source, channel, i", "t, y", "SELECT 'data' AS source, channel, i, t, y FROM sig")
 def _(spark, d):
-    data, stim = R.with_stimulus(V.signal(spark, d), None)
-    count = lambda x, name: x.agg(F.count("*").alias("n")).withColumn("source", F.lit(name))
-    return count(data, "data").unionByName(count(stim, "stim"))
+    data, stim = R.read_recording(spark, _stored(spark, d, False))
+    return data.withColumn("source", F.lit("data")).unionByName(stim.withColumn("source", F.lit("stim")))
 
 
 @query("A12_inferred_rate", "channel", "fs", "SELECT channel, CASE WHEN b > a THEN 1 / (b - a) ELSE 1000 END AS fs FROM (SELECT channel, max(t) FILTER (i = 1) AS a, max(t) FILTER (i = 2) AS b FROM irr GROUP BY 1)")
@@ -162,10 +168,10 @@ def _(spark, d):
     return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.sum("flow").alias("total"))
 
 
-@query("A15_append_trials", "rows, trials", "total", "SELECT 2 * count(*) AS rows, 2 * count(DISTINCT (channel, onset)) AS trials, 2 * sum(y) AS total FROM trl WHERE channel % 3 = 0")
+@query("A15_append_trials", "rows, trials", "total", "SELECT 2 * count(*) AS rows, 2 * count(DISTINCT (channel, onset)) AS trials, 2 * sum(y) AS total FROM trl")
 def _(spark, d):
     path = scratch_path(spark, "trials")
-    rows = numbered(spark, d).where(F.col("file") == 0)
+    rows = trials(spark, d).withColumn("trial", F.col("channel") * 100000 + F.col("onset"))
     S.append_trials(rows, path)
     S.append_trials(rows, path)
     return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.countDistinct("trial").alias("trials"), F.sum("y").alias("total"))
@@ -175,14 +181,16 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "lfp")
     S.write_recording(V.signal(spark, d).drop("s"), V.stimulus(spark, d), path, [3, 5, 9])
-    return spark.read.parquet(f"{path}/data").withColumn("channel", F.col("channel").cast("long"))
+    return R.read_recording(spark, path)[0]
 
 
-@query("A17_write_mua", "name, value", "", "SELECT * FROM (VALUES ('high', '3000'), ('low', '300'), ('order', '4')) v(name, value)")
+@query("A17_write_mua", "name, value, channel, n", "total", """SELECT name, value, NULL::BIGINT AS channel, NULL::BIGINT AS n, NULL AS total FROM (VALUES ('high', '3000'), ('low', '300'), ('order', '4')) v(name, value)
+  UNION ALL SELECT NULL, NULL, channel, count(*), sum(y) FROM sig GROUP BY channel""")
 def _(spark, d):
     path = scratch_path(spark, "mua")
-    S.write_recording(V.signal(spark, d).drop("s"), None, path, [3, 5], {"low": "300", "high": "3000", "order": "4"})
-    return spark.read.parquet(f"{path}/parameters")
+    S.write_recording(V.signal(spark, d).drop("s"), None, path, None, {"low": "300", "high": "3000", "order": "4"})
+    sums = R.read_recording(spark, path)[0].groupBy("channel").agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+    return spark.read.parquet(f"{path}/parameters").unionByName(sums, allowMissingColumns=True)
 
 
 @query("A18_write_features", "channel", "latency", "SELECT channel, arg_min(t, (-y, t)) - 1 AS latency FROM sig WHERE t >= 1 GROUP BY channel")
@@ -192,6 +200,23 @@ def _(spark, d):
     return spark.read.option("header", True).schema("channel long, latency double").csv(path)
 
 
+@query("A18_write_features_mat", "channel", "latency", "SELECT channel, arg_min(t, (-y, t)) - 1 AS latency FROM sig WHERE t >= 1 GROUP BY channel")
+def _(spark, d):
+    path = scratch_path(spark, "features.mat")
+    S.write_features(X.peak_latency(V.signal(spark, d), 1.0).select("channel", "latency"), path)
+    cells = M.read_variables(spark, path).where(F.col("variable").startswith("data.")).withColumn("at", F.split("variable", r"\."))
+    rows = cells.groupBy(F.col("at")[1].alias("k")).agg(F.max(F.when(F.col("at")[2] == "1", F.col("v"))).cast("long").alias("channel"), F.max(F.when(F.col("at")[2] == "2", F.col("v"))).alias("latency"))
+    return rows.drop("k")
+
+
+@query("A19_folders", "step, kept, source, target", "", "SELECT * FROM (VALUES (1, false, false, false), (2, false, false, false), (3, true, true, false), (4, true, true, true)) v(step, kept, source, target)")
+def _(spark, d):
+    session = spark.newSession()  # settings of its own
+    steps = [("", ("import",)), (f"{d}/nothing", ("import", "export")), (d, ("import",)), (d, ("import", "export"))]
+    rows = [(k, P.set_folder(session, path, *kinds), P.folder(session, "import") == d, P.folder(session, "export") == d) for k, (path, kinds) in enumerate(steps, 1)]
+    return spark.createDataFrame(rows, "step int, kept boolean, source boolean, target boolean")
+
+
 # --- B: ranges -----------------------------------------------------------------------------------------------------
 
 

@@ -216,7 +216,17 @@ def _binned(spark, d) -> DataFrame:
     return K.time_bins(V.waves(spark, d), 4.0)
 
 
-@query("G26_merge_bins", "spike, bin, cluster", "")
+#: Centroids by bin; each takes the best like one of the bin before; ids are numbered by their first (bin, cluster).
+MATCHED = """wvb AS (SELECT *, greatest(ceil((t - min(t) OVER ()) / 4.0::DOUBLE), 1)::BIGINT AS bin FROM wav),
+cb AS (SELECT bin, cluster, k, avg(wave[k]) AS v, dense_rank() OVER (ORDER BY bin) AS n FROM wvb, (SELECT unnest(range(1, 65)) AS k) GROUP BY bin, cluster, k),
+mt AS (SELECT x.n, x.cluster, y.cluster AS before, coalesce(corr(x.v, y.v), 0) AS r, sqrt(sum((x.v - y.v) * (x.v - y.v))) AS d FROM cb x JOIN cb y ON y.n = x.n - 1 AND y.k = x.k GROUP BY 1, 2, 3),
+lk AS (SELECT n, cluster, arg_min(before, (-(r - 0.01::DOUBLE * d), before)) AS before FROM mt WHERE r >= 0.5 AND d <= 5.0 GROUP BY 1, 2),
+nd AS (SELECT DISTINCT bin, cb.n, cluster, before FROM cb LEFT JOIN lk USING (n, cluster)),
+gi AS (WITH RECURSIVE g(n, cluster, id) AS (SELECT n, cluster, row_number() OVER (ORDER BY n, cluster) FROM nd WHERE before IS NULL
+  UNION ALL SELECT nd.n, nd.cluster, g.id FROM nd JOIN g ON nd.n = g.n + 1 AND nd.before = g.cluster) SELECT bin, g.cluster, id FROM g JOIN nd USING (n, cluster))"""
+
+
+@query("G26_merge_bins", "spike, bin, cluster", "", "SELECT spike, bin, id::INTEGER AS cluster FROM wvb JOIN gi USING (bin, cluster)", MATCHED)
 def _(spark, d):
     return K.merged_across_bins(_binned(spark, d), 0.5, 5.0)
 

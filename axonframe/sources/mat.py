@@ -61,7 +61,8 @@ def _matrix(body: bytes, order: str) -> tuple[str, Any]:
     name = r.numbers().tobytes().decode("latin-1")
     count = int(np.prod(shape))
     if kind == CELL:
-        return name, [_matrix(r.element()[1], order)[1] for _ in range(count)]
+        cells = [_matrix(r.element()[1], order)[1] for _ in range(count)]
+        return name, [cells[k :: shape[0]] for k in range(shape[0])] if len(shape) == 2 and min(shape) > 1 else cells
     if kind in (STRUCT, OBJECT):
         if kind == OBJECT:
             r.numbers()
@@ -83,7 +84,8 @@ def _matrix(body: bytes, order: str) -> tuple[str, Any]:
 
 
 def read_mat(data: bytes) -> dict[str, Any]:
-    """Variables by name: arrays of doubles, bools, text, lists (cells, struct arrays), dicts (structs)."""
+    """Variables by name: arrays of doubles, bools, text, lists (cells, struct arrays; cells in rows and columns
+    are lists of rows), dicts (structs)."""
     order = {b"IM": "<", b"MI": ">"}.get(data[126:128])
     if order is None:
         raise ValueError("not a level 5 MAT file")
@@ -109,6 +111,9 @@ def _variable(name: str, value: Any) -> bytes:
     if isinstance(value, dict):
         fields = b"".join(f.encode("latin-1")[:31].ljust(32, b"\0") for f in value)
         return _element(MATRIX, head(STRUCT, (1, 1)) + _element(5, struct.pack("<i", 32)) + _element(1, fields) + b"".join(_variable("", v) for v in value.values()))
+    if isinstance(value, list) and len(value) > 1 and all(isinstance(v, list) and len(v) == len(value[0]) > 1 for v in value):  # rows of cells
+        cells = [row[k] for k in range(len(value[0])) for row in value]
+        return _element(MATRIX, head(CELL, (len(value), len(value[0]))) + b"".join(_variable("", v) for v in cells))
     if isinstance(value, list):
         return _element(MATRIX, head(CELL, (1, len(value))) + b"".join(_variable("", v) for v in value))
     array = np.atleast_2d(np.asarray(value))
@@ -174,3 +179,79 @@ def read_export(spark: SparkSession, path: str, root: str = "") -> tuple[DataFra
     index = index.join(vector("samplerate").select(F.col("k").alias("channel"), F.col("v").alias("fs")), "channel", "left")
     titles = rows.where(F.col("variable").startswith(f"{at}titles.")).select(F.substring_index("variable", ".", -1).cast("long").alias("channel"), F.col("text").alias("title"))
     return block, index.join(titles, "channel", "left")
+
+
+def _matrix_of(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where(F.col("variable") == name).select("file", F.col("row").alias("k"), F.col("col").alias("i"), F.col("v").alias("y"))
+
+
+def _vector_of(rows: DataFrame, name: str, out: str) -> DataFrame:
+    return rows.where(F.col("variable") == name).select("file", F.greatest("row", "col").alias("i"), F.col("v").alias(out))
+
+
+def _series_of(rows: DataFrame, values: str, times: str) -> DataFrame:
+    """(file, k, i, t, y): a matrix's rows as series over a time vector."""
+    return _matrix_of(rows, values).join(_vector_of(rows, times, "t"), ["file", "i"]).select("file", "k", "i", "t", "y")
+
+
+def _flat(rows: DataFrame, values: str, times: str) -> DataFrame:
+    """(file, i, t, y): a vector over a time vector, whichever way either lies; empty where either is absent."""
+    return _vector_of(rows, values, "y").join(_vector_of(rows, times, "t"), ["file", "i"]).select("file", "i", "t", "y")
+
+
+def _require(rows: DataFrame, *names: str) -> None:
+    have = {r["variable"] for r in rows.where(F.col("variable").isin(*names)).select("variable").distinct().collect()}  # no more than names
+    if set(names) - have:
+        raise ValueError(f"missing variables: {sorted(set(names) - have)}")
+
+
+def read_lfp(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recordings of local fields as MAT files: data (file, channel, i, t, y), stimulus (file, i, t, y) and rates (file,
+    fs, stim_fs). All six variables are needed."""
+    rows = read_variables(spark, path, ["lfp_data", "stim_data", "t_lfp", "t_stim", "lfp_fs", "stim_fs"])
+    _require(rows, "lfp_data", "stim_data", "t_lfp", "t_stim", "lfp_fs", "stim_fs")
+    rates = _vector_of(rows, "lfp_fs", "fs").join(_vector_of(rows, "stim_fs", "stim_fs"), ["file", "i"]).drop("i")
+    return _series_of(rows, "lfp_data", "t_lfp").withColumnRenamed("k", "channel"), _flat(rows, "stim_data", "t_stim"), rates
+
+
+def read_mua(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Multi-unit recordings as MAT files: data (file, channel, i, t, y) by the channels' own numbers, stimulus (file, i,
+    t, y), which is empty where one of its three variables is absent, and rates (file, fs)."""
+    rows = read_variables(spark, path, ["mua_data", "mua_fs", "t_mua", "mua_channels", "stim_data", "stim_fs", "t_stim"])
+    _require(rows, "mua_data", "mua_fs", "t_mua", "mua_channels")
+    names = _vector_of(rows, "mua_channels", "channel").select("file", F.col("i").alias("k"), F.col("channel").cast("long").alias("channel"))
+    data = _series_of(rows, "mua_data", "t_mua").join(names, ["file", "k"]).select("file", "channel", "i", "t", "y")
+    rated = rows.where(F.col("variable") == "stim_fs").select("file").distinct()
+    return data, _flat(rows, "stim_data", "t_stim").join(rated, "file", "left_semi"), _vector_of(rows, "mua_fs", "fs").drop("i")
+
+
+STACK = "stack string, frame long, c long, row long, col long, v double, t double"
+
+
+def read_stack(spark: SparkSession, path: str) -> DataFrame:
+    """(stack, frame, c, row, col, v, t) of image stacks in MAT files: the variable `stack`, else `frames`, else the
+    first one, as rows x columns x frames; t is `timeVec`, else `t`, else NULL."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, data in zip(pdf["path"], pdf["content"], strict=True):
+                found = read_mat(bytes(data))
+                name = next((n for n in ("stack", "frames") if n in found), next(iter(found), None))
+                images = np.asarray(found.get(name, np.zeros((0, 0))), float)
+                if images.ndim < 2 or images.dtype == object:
+                    raise ValueError(f"{file} holds no image stack")
+                times = found.get("timeVec", found.get("t"))
+                times = None if times is None else np.asarray(times, float).reshape(-1)
+                images = images.reshape(*images.shape[:2], -1, order="F")
+                r, c = (x.reshape(-1) + 1 for x in np.indices(images.shape[:2]))
+                for f in range(images.shape[2] if images.size else 0):
+                    at = float(times[f]) if times is not None and f < len(times) else None
+                    yield pd.DataFrame({"stack": file, "frame": f + 1, "c": 1, "row": r, "col": c, "v": images[:, :, f].reshape(-1), "t": at}).astype({"t": float})
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, STACK)
+    return rows.withColumn("t", F.when(~F.isnan("t"), F.col("t"))).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+
+
+def read_mask(spark: SparkSession, path: str) -> DataFrame:
+    """(stack, row, col) inside the region `roiMask` of MAT files; empty where there is none."""
+    inside = read_variables(spark, path, ["roiMask"]).where(F.col("v") != 0)
+    return inside.select(F.col("file").alias("stack"), "row", "col")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,10 +113,17 @@ def default_selection(df: DataFrame, most: int = 4) -> DataFrame:
     return df.join(F.broadcast(chosen), "channel")
 
 
-def with_stimulus(data: DataFrame, stim: DataFrame | None, spark=None) -> tuple[DataFrame, DataFrame]:
-    """A recording and its stimulus; a missing stimulus is an empty table."""
-    if stim is None:
-        stim = data.limit(0).select("channel", "i", "t", F.col("y"))
+def read_recording(spark: SparkSession, path: str, channels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A stored recording (channel, i, t, y) and its stimulus (channel, i, t, y): `data`, partitioned by channel, and
+    `stim` under the path; a stimulus that isn't stored is an empty table. `channels`: only so many, the first."""
+    data = spark.read.parquet(f"{path}/data")
+    data = data.select(F.col("channel").cast("long").alias("channel"), "i", "t", "y")
+    if channels is not None:
+        data = default_selection(data, channels)
+    try:
+        stim = spark.read.parquet(f"{path}/stim").select("channel", "i", "t", "y")
+    except AnalysisException:
+        stim = data.limit(0)
     return data, stim
 
 

@@ -53,6 +53,29 @@ def test_kept_rows_are_those_of_all_pairs(spark, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize(("chunk", "rounds"), [(4000, 8), (4000, 1), (1500, 3)])
+def test_large_groups_are_taken_apart(spark, monkeypatch, chunk, rounds):
+    """Two templates with many copies each, some at the edge of the threshold, and texts between the two."""
+    monkeypatch.setattr(simhash, "STARS", rounds)
+    rng = np.random.default_rng(9)
+    first = [f"w{x}" for x in rng.integers(0, 1 << 30, 120)]
+    second = first[:80] + [f"v{x}" for x in rng.integers(0, 1 << 30, 40)]
+    texts = []
+    for template, n in ((first, 90), (second, 60)):
+        for _ in range(n):
+            copy = list(template)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[int(rng.integers(len(copy)))] = f"x{int(rng.integers(1 << 30))}"
+            texts.append(" ".join(copy))
+    for cut in range(70, 120, 4):
+        texts.append(" ".join(first[:cut] + second[cut:]))
+    texts = [texts[k] for k in rng.permutation(len(texts)).tolist()]
+    want, near = kept_by_force(texts)
+    assert near > 1000 and 1 < len(want) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.kept_of_groups(docs, chunk=chunk).collect()} == want
+
+
 def test_texts_below_the_threshold_stay(spark):
     """Simhashes of these agree in over 0.8 of their bits, their shingles don't: 0.68 of them are shared."""
     rng = np.random.default_rng(0)

@@ -86,6 +86,16 @@ def test_mixing_takes_what_the_operator_says(spark, sf, chain):
     assert {i: sorted(x) for i, x in got.items()} == {i: sorted(t for t in x if t) for i, x in want.items() if any(x)}
 
 
+def test_a_part_taken_keeps_its_line_breaks(spark, sf):
+    text = " one\n\ttwo  three\nfour\r\nfive six\n" * 30
+    rows = [(k, text, "en", s, 1) for k, s in enumerate("aaaabbbbbbbbcccc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = STAGES["mixing"](spark, docs, sf).collect()
+    cut = [r["text"] for r in got if r["text"] != text]
+    assert cut and all(text.startswith(t) and not t[-1].isspace() and text[len(t)].isspace() for t in cut)
+    assert all(r["n_chars"] == len(r["text"]) for r in got if r["text"] != text)
+
+
 def test_packing_holds_every_row_of_its_input(chain):
     assert chain["packing"].where("start = 0").count() == chain["mixing"].count()
 
