@@ -31,7 +31,7 @@ from . import common
 
 LENGTH, GRAM = 200, 64
 #: Bytes of one group's segments that are dealt out together; bytes sorted at once; bytes of a text looked at at once.
-GROUP_BYTES, SORT_BYTES, BLOCK = 1 << 19, 1 << 19, 1 << 18
+GROUP_BYTES, SORT_BYTES, BLOCK = 1 << 19, 1 << 16, 1 << 18
 RUNS = "array<struct<low: long, high: long>>"
 PLACES = "array<struct<first: long, step: long, times: long>>"
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -125,11 +125,16 @@ def _keys(raw: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 # --- the difference-cover sort -------------------------------------------------------------------------------------
 
 
-def _named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks from 1 of the triples, equal ones alike, and the highest."""
-    _, low = np.unique(b * (int(c.max()) + 1) + c, return_inverse=True)
-    _, rank = np.unique(a * (int(low.max()) + 1) + low, return_inverse=True)
-    return rank + 1, int(rank.max()) + 1
+def _key(*columns: np.ndarray) -> np.ndarray:
+    """One number a row, in the order of the columns' rows; what wouldn't fit is ranked first."""
+    key, top = columns[0], int(columns[0].max())
+    for c in columns[1:]:
+        span = int(c.max()) + 1
+        if (top + 1) * span >= 1 << 63:
+            _, key = np.unique(key, return_inverse=True)
+            top = int(key.max())
+        key, top = key * span + c, top * span + span - 1
+    return key
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -141,19 +146,28 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     ones = np.arange(1, n + (n % 3 == 1), 3)  # where n % 3 is 1 an empty suffix ends the first part
     twos = np.arange(2, n, 3)
     sample = np.concatenate((ones, twos))
-    names, highest = _named(s[sample], s[sample + 1], s[sample + 2])
-    order = np.argsort(names, kind="stable") if highest == len(sample) else suffix_array(names)
+    triple = _key(s[sample], s[sample + 1], s[sample + 2])
+    order = np.argsort(triple)
+    sorted_ = triple[order]
+    name = np.cumsum(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    if name[-1] < len(sample):
+        names = np.empty(len(sample), np.int64)
+        names[order] = name
+        order = suffix_array(names)
     rank = np.zeros(n + 4, np.int64)
     rank[sample[order]] = np.arange(1, len(order) + 1)
     sampled = sample[order]
     sampled = sampled[sampled < n]
-    zeros = np.arange(0, n, 3)
-    span = len(order) + 2
-    zeros = zeros[np.argsort(s[zeros] * span + rank[zeros + 1], kind="stable")]
-    one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    before = np.searchsorted(s[one] * span + rank[one + 1], s[zeros] * span + rank[zeros + 1])
-    _, pair = np.unique(np.concatenate((s[two] * (int(s.max()) + 1) + s[two + 1], s[zeros] * (int(s.max()) + 1) + s[zeros + 1])), return_inverse=True)
-    before += np.searchsorted(pair[: len(two)] * span + rank[two + 2], pair[len(two) :] * span + rank[zeros + 2])
+    zeros, kind = np.arange(0, n, 3), sampled % 3
+    one, two = sampled[kind == 1], sampled[kind == 2]
+    both = np.concatenate((one, zeros))
+    pair = _key(s[both], rank[both + 1])
+    order = np.argsort(pair[len(one) :])
+    zeros = zeros[order]
+    before = np.searchsorted(pair[: len(one)], pair[len(one) :][order])
+    both = np.concatenate((two, zeros))
+    triple = _key(s[both], s[both + 1], rank[both + 2])
+    before += np.searchsorted(triple[: len(two)], triple[len(two) :])
     out = np.empty(n, np.int64)
     at = before + np.arange(len(zeros))
     free = np.ones(n, bool)
