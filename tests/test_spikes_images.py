@@ -293,3 +293,15 @@ def test_onsets_over_batches(spark, tmp_path):
             last = k
         was = v
     assert sorted(r["i"] for r in got.collect()) == want
+
+
+def test_haar_levels_are_made_once(spark):
+    """As many levels as the waveform has: a level that is made anew for each of its uses takes 64 ** 6 steps."""
+    wave = np.random.default_rng(2).normal(size=64)
+    low, details = wave, []
+    for _ in range(6):
+        details.insert(0, (low[::2] - low[1::2]) / np.sqrt(2))
+        low = (low[::2] + low[1::2]) / np.sqrt(2)
+    df = spark.createDataFrame([(1, wave.tolist())], "spike long, wave array<double>")
+    got = spikes.haar(df, 64, levels=6).first()["features"]
+    assert np.allclose(got, np.concatenate([low, *details]), atol=1e-12)
