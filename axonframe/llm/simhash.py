@@ -461,14 +461,25 @@ def chunk_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = SHINGLES) -> DataFrame:
+def print_links(signs: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(u, v): nodes joined by their fingerprints (node, fp), those found by the inverted index at BITS differing bits or
+    fewer. Each component of fingerprints is a star around its least node."""
+    pairs = scratch.table("prints", signs.select("node", "fp").distinct())
+    roots = scratch.table("roots", components(links_between(pairs.select("fp").distinct(), scratch), scratch).withColumnRenamed("node", "at"))
+    named = scratch.table("named", pairs.join(roots, F.col("fp") == F.col("at"), "left").select("node", F.coalesce("root", "fp").alias("root")))
+    heads = named.groupBy("root").agg(F.min("node").alias("u"))
+    return named.join(heads, "root").where(F.col("u") != F.col("node")).select("u", F.col("node").alias("v"))
+
+
+def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = SHINGLES, prints: bool = False) -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays (then the smallest text hash).
 
     Two texts are near copies if their sets of `words`-word shingles have a Jaccard similarity of `similarity` or more,
     counted over the whole sets. What is counted are the texts of a candidate group: those joined by a common key of
     min-hashes. Two texts of similarity s have none in common with probability (1 - s**ROWS)**BANDS: at 0.8, 5e-8.
     Candidate groups of over `chunk` shingles are taken apart by `starred` first; what is left to compare is dealt out
-    as pairs of chunks. Texts without words form one group; a row without an id is the last of its group.
+    as pairs of chunks. Texts without words form one group; a row without an id is the last of its group. With `prints`,
+    texts whose fingerprints the inverted index links (`near_duplicates`) are near copies too.
     """
     scratch, names = common.Scratch(docs.sparkSession), docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
@@ -486,14 +497,15 @@ def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chu
             keys = band_keys([s for s in sets if len(s)])
             at = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0))))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(node.view(np.int64)), pa.array(sizes), lists], names=["doc_id", "th", "node", "size", "keys"])
+            fp = fingerprints_of([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]) if prints else np.zeros(len(sets), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(node.view(np.int64)), pa.array(sizes), lists, pa.array(fp.view(np.int64))], names=["doc_id", "th", "node", "size", "keys", "fp"])
 
     def with_text(found: DataFrame) -> DataFrame:
         """found with the text of its column `least`."""
         keyed = found.select("*", F.col("least.doc_id").alias("at_id"), F.col("least.th").alias("at_th")).drop("least")
         return rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).join(keyed, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).drop("doc_id", "th", "at_id", "at_th")
 
-    signs = rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).mapInArrow(run, f"doc_id {kind}, th long, node long, size long, keys array<long>")
+    signs = rows.select(doc_id.alias("doc_id"), "th", text.alias("text")).mapInArrow(run, f"doc_id {kind}, th long, node long, size long, keys array<long>, fp long")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     signs = scratch.table("signs", signs)
     nodes = scratch.table("nodes", signs.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.min(order).alias("least")))
@@ -512,6 +524,8 @@ def kept_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chu
         dealt = dealt.join(large, "root", "left_anti").unionByName(chunk_pairs(labelled, pairs))
     compared = with_text(dealt).select("root", "i", "j", "chunk", "node", "text")
     links.append(compared.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verified(words, similarity), "u long, v long"))
+    if prints:
+        links.append(print_links(signs, common.Scratch(docs.sparkSession)))
     exact = common.Scratch(docs.sparkSession)
     roots = exact.table("roots", components(reduce(DataFrame.unionByName, links), exact))
     named = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))

@@ -91,3 +91,26 @@ def test_texts_below_the_threshold_stay(spark):
     want, _ = kept_by_force(rows)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.kept_of_groups(docs).collect()} == want
+
+
+def test_fingerprints_link_in_the_pipeline(spark, sf):
+    """A template with tails of its own each: few shingles in common as sets, fingerprints within 4 bits; chains of
+    fingerprints and of shingles join. The groups are those of all pairs by either rule."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    template = [f"w{x}" for x in rng.integers(0, 1 << 30, 11)]
+    texts = [" ".join(template * 60 + [f"t{k}x{j}" for j in range(12)]) for k in range(5)]
+    long = [f"v{x}" for x in rng.integers(0, 1 << 30, 300)]
+    texts += [" ".join(long), " ".join([*long[:150], "x", *long[151:]]), " ".join(f"y{x}" for x in rng.integers(0, 1 << 30, 80)), "", "  "]
+    prints = simhash.fingerprints_of([t.encode() for t in texts]).tolist()
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+    only = 0
+    for a, b in combinations(range(len(texts)), 2):
+        near, like = (prints[a] ^ prints[b]).bit_count() <= 4, len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        only += near and not like
+        if near or like:
+            group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert only >= 10 and 3 <= len(set(group)) < len(kept_by_force(texts)[0])
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()} == set(group)
