@@ -325,3 +325,22 @@ def test_merge_search_makes_no_table_of_pairs(spark, monkeypatch, compat):
     assert len(ids) > len(set(best[3].tolist())) and (r, d) == best[1:3]
     got = {q["spike"]: q["cluster"] for q in found.collect()}
     assert [got[q[0]] for q in rows] == best[3].tolist()
+
+
+def test_embedding_of_many_spikes_makes_no_square(monkeypatch):
+    """Above neighbours.EXACT: forces near those of all pairs, neighbourhoods kept, and no block as large as n x n / 4."""
+    from axonframe.functions import neighbours
+
+    rng = np.random.default_rng(7)
+    for spread in (1e-4, 1.0, 12.0):
+        y = rng.normal(scale=spread, size=(2000, 2))
+        (want, total), (got, near) = neighbours.repulsion(y), neighbours.plane_repulsion(y)
+        assert near == pytest.approx(total, rel=2e-2) and np.abs(got - want).max() < 0.05 * np.abs(want).max()
+    middle = rng.normal(scale=8, size=(8, 10))
+    own = rng.integers(0, 8, 2000)
+    x = middle[own] + rng.normal(size=(2000, 10))
+    monkeypatch.setattr(neighbours, "repulsion", None)
+    y = neighbours.embedded(x, 2)
+    d = ((y[:, None] - y[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert np.isfinite(y).all() and (own[d.argmin(1)] == own).mean() > 0.97
